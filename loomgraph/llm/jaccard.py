@@ -4,18 +4,22 @@ A text's set holds its distinct word n-grams; with fewer words, the whole sequen
 empty and links with nothing.  Two texts link when ``den * |A & B| >= num * |A | B|`` for a threshold num / den.
 
 Only the columns of the incidence that can decide are multiplied.  With n-grams ranked from rare to frequent, two
-linked sets share one of the first ``|A| - ceil(t |A|) + 1`` of each, so these alone are kept (the size-derived
-bound), and pairs whose sizes differ beyond t are dropped unseen.  Ranks come from counts of all n-grams in a table of
+linked sets share k of the first ``|A| - ceil(t |A|) + k`` of each, so these alone are kept (the size-derived bound,
+with k growing with the size), a text of which fewer are shared with anyone is done, and pairs whose sizes differ
+beyond t are dropped unseen.  Ranks come from counts of all n-grams in a table of
 fixed size; any table gives whole results, a fuller one fewer candidates.  Column blocks go to tasks by n-gram:
 
 1. texts with equal sets form one class (so copies cost one row each);
-2. within a column and size band every class is paired with the column's least class, the pairs' full overlaps are
-   counted, and linked ones form components;
-3. only columns that still hold several components are multiplied further: their rows outside the column's largest
-   component against all its rows of other components.  Pairs inside a component cannot change the result.
+2. within a column every class meets the column's least class, its leader; the product of the two whole rows gives the
+   overlap, and linked ones form components.  What a class and its leader do not share is kept;
+3. a leader's classes, where they still form several components, are multiplied in blocks of BLOCK rows: for two rows
+   with the same leader, ``|A - B| + |B - A| = |a| + |b| - 2 |a & b|`` over their differences a and b from it, which
+   are short.  Overlaps add up over column chunks, and pairs below the bound fall away inside the block.  Rows that
+   are in the group's largest component already are multiplied with the others only.
 
-Every link between different components is therefore found, and none of a group of near copies is paired with all
-others.  There is no cap on columns, groups or partners.
+Two linked classes share a column, so a leader, and meet in a block unless they are in one component before: every link
+between different components is found.  A block returns what joins components, so no task emits all pairs of a group.
+There is no cap on columns, groups or partners.
 
 Classes and n-grams go by 64-bit hashes.  Defined results: null texts are empty; a row with a null id gets the
 component of the texts it links with, null if there is none; rows that repeat an id with other texts count as linked;
@@ -35,6 +39,10 @@ from loomgraph.llm.common import as_bytes, merged_table, pack_table, words
 
 #: Size of the table of n-gram counts, and of the bit table that preselects texts to be compared.
 COUNT_BITS, FILTER_BITS, BLOCKS = 22, 24, 64
+#: One more deciding n-gram has to be shared for each so many n-grams of a set.
+GROW = 32
+#: Rows and columns of a block of the product.
+BLOCK, CHUNK = 1024, 4096
 #: Rows of one task's share of a class's comparisons.
 SHARE = 512
 MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -77,6 +85,11 @@ def _least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def _shared(n: int) -> int:
+    """How many deciding n-grams two linked sets share at least, the smaller of which has n."""
+    return 1 + n // GROW
+
+
 def count_table(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     """For each slot of the fixed-size table, how many texts hold an n-gram of the slot, over all texts."""
 
@@ -112,7 +125,7 @@ def incidence(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col
                 sizes.append(len(g))
                 sigs.append(_class(g) if len(g) else None)
                 order = np.lexsort((g, rank[(g & mask).astype(np.int64)]))
-                heads.append(g[order[: len(g) - _least_overlap(len(g), num, den) + 1]].view(np.int64) if len(g) else np.empty(0, np.int64))
+                heads.append(g[order[: len(g) - _least_overlap(len(g), num, den) + _shared(len(g))]].view(np.int64) if len(g) else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), lists], names=["id", "n", "cls", "head"])
@@ -148,15 +161,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
     return rows.mapInArrow(run, "cls bigint, grams binary").join(wanted.select("cls"), "cls").dropDuplicates(["cls"])
 
 
-def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets reach the threshold; each x's set meets its y's a share at a time."""
+def stars(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """For each pair (x, y): n of y, whether the whole sets are linked, and their symmetric difference.
+
+    Each x's set meets its y's a share at a time, in a task that holds one set of x.
+    """
     shares = pairs.groupBy("x").count().select("x", F.ceil(F.col("count") / SHARE).cast("int").alias("shares"))
     dealt = pairs.join(shares, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.col("shares")).cast("int"))
     firsts = dealt.select("x", "salt").distinct().join(sets, F.col("x") == F.col("cls")).select("x", "salt", F.lit(0).alias("kind"), F.col("x").alias("y"), "grams")
     seconds = dealt.join(sets, F.col("y") == F.col("cls")).select("x", "salt", F.lit(1).alias("kind"), "y", "grams")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = firsts.union(seconds).repartition(parts, "x", "salt").sortWithinPartitions("x", "salt", "kind")
-    kind = rows.schema["x"].dataType.simpleString()
 
     def run(batches):
         at, first = None, None
@@ -167,12 +182,88 @@ def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                     at, first = x, np.frombuffer(grams.as_py(), np.uint64)
                 elif x == at:
                     other = np.frombuffer(grams.as_py(), np.uint64)
-                    both = len(np.intersect1d(first, other, assume_unique=True))
-                    if den * both >= num * (len(first) + len(other) - both):
-                        out.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], b.schema.field(0).type), pa.array([y for _, y in out], b.schema.field(3).type)], names=["x", "y"])
+                    apart = np.setxor1d(first, other, assume_unique=True)
+                    both = (len(first) + len(other) - len(apart)) // 2
+                    out.append((x, y, len(other), den * both >= num * (both + len(apart)), apart.tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["x", "y", "n", "linked", "apart"])
+
+    return rows.mapInArrow(run, "x bigint, y bigint, n bigint, linked boolean, apart binary")
+
+
+def block_links(ids: list[int], comps: list[int], sizes: list[int], aparts: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between rows of different components that join them, one per join; aparts: differences from one leader."""
+    n, d = np.array(sizes, np.float64), np.array([len(a) // 8 for a in aparts], np.float64)
+    grams = np.frombuffer(b"".join(aparts), np.uint64)
+    owner = np.repeat(np.arange(len(ids)), d.astype(np.int64))
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
+    runs = np.diff(np.concatenate([first, [len(grams)]]))
+    column = np.repeat(np.cumsum(runs > 1) - 1, runs)
+    held = np.repeat(runs > 1, runs)
+    column, owner = column[held], owner[held]
+    shared = np.zeros((len(ids), len(ids)), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, CHUNK):
+        here = (column >= at) & (column < at + CHUNK)
+        part = np.zeros((len(ids), CHUNK), np.float32)
+        part[owner[here], column[here] - at] = 1
+        shared += part @ part.T
+    apart = d[:, None] + d[None, :] - 2 * shared
+    both = (n[:, None] + n[None, :] - apart) / 2
+    x, y = np.nonzero(np.triu(den * both >= num * (both + apart), 1))
+    parent = {c: c for c in comps}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = root(comps[i]), root(comps[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def late_links(stars_: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) links that join components within leaders' groups, by the blocked product."""
+    # The pair (x, x) stands for the leader itself.
+    group = stars_.select("x", "y", "n", "apart")
+    member = group.join(comp.withColumnRenamed("id", "y"), "y", "left").withColumn("component", F.coalesce("component", "y"))
+    sizes = member.groupBy("x", "component").count()
+    several = sizes.groupBy("x").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    several = several.select("x", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("others"))
+    rows = member.join(several, "x").withColumn("is_main", F.col("component") == F.col("main"))
+    # Blocks 0 .. others-1 hold what is outside the main component, the following ones the main component.
+    own = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("y"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("y"), F.col("others"))).cast("int")
+    mates = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    rows = rows.withColumn("own", own).withColumn("mate", F.explode(mates)).select("x", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "y", "component", "n", "apart")
+    parts = int(stars_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "x", "i", "j").sortWithinPartitions("x", "i", "j")
+
+    def run(batches):
+        key, held = None, []
 
-    return rows.mapInArrow(run, f"x {kind}, y {kind}")
+        def done():
+            found = block_links(*map(list, zip(*held, strict=True)), num, den) if held else []
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["x", "y"])
+
+        for b in batches:
+            for x, i, j, y, component, n, apart in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+                if (x, i, j) != key:
+                    if held:
+                        yield done()
+                    key = (x, i, j)
+                held.append((y, component, n, apart))
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, "x bigint, y bigint")
 
 
 def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,34 +271,28 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col:
     base = cut(incidence(docs, n, num, den, id_col, text_col))
     held = base.where("cls is not null")
     reps = held.groupBy("cls").agg(F.min("id").alias("rep"))
-    heads = held.select("cls", "n", "head").dropDuplicates(["cls"])
-    band = F.floor(F.log("n") / F.lit(float(np.log(den / num)) if num < den else 1e-9))
-    columns = heads.select("cls", "n", band.alias("band"), F.explode("head").alias("gram"))
+    heads = held.select("cls", "head").dropDuplicates(["cls"])
+    sized = held.groupBy("cls").agg(F.max("n").alias("n"))
+    columns = heads.select("cls", F.explode("head").alias("gram"))
+    shared = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
+    columns = cut(columns.join(shared, "gram"))
+    # A linked text's partner has at least ceil(t n) n-grams, and shares as many deciding ones as that size asks for.
+    least_partner = F.floor((F.col("n") * num + (den - 1)) / den)
+    enough = columns.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).join(sized, "cls").where(F.col("k") >= 1 + F.floor(least_partner / GROW))
+    columns = columns.join(enough.select("cls"), "cls")
     shared = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     columns = cut(columns.join(shared, "gram"))
-    near = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-    least = columns.groupBy("gram", "band").agg(F.min(F.struct("cls", "n")).alias("first"))
-    pairs = columns.join(least, ["gram", "band"]).select(F.col("first.cls").alias("x"), F.col("first.n").alias("nx"), F.col("cls").alias("y"), F.col("n").alias("ny"))
-    pairs = cut(pairs.where("x <> y").where(near).select("x", "y").distinct())
-    # Only texts that share a deciding n-gram are ever compared.
+    least = columns.groupBy("gram").agg(F.min("cls").alias("x"))
+    pairs = cut(columns.join(least, "gram").select("x", F.col("cls").alias("y")).distinct())
+    # Only texts that share enough deciding n-grams are ever compared.
     sets = cut(_sets(docs, columns.select("cls").distinct().join(reps, "cls"), n, id_col, text_col))
-    found = cut(links(pairs, sets, num, den))
-    comp = components(found.select(F.col("x").alias("src"), F.col("y").alias("dst")))
-    known = columns.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    known = cut(known.select("gram", "cls", "n", "component"))
-    sizes = known.groupBy("gram", "component").count()
-    several = sizes.groupBy("gram").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", "main")
-    rest = known.join(several, "gram")
-    minor = rest.where("component <> main").select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    every = rest.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
-    more = minor.join(every, "gram").where(F.col("cx") != F.col("cy")).where((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))).where(near)
-    more = more.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    tried = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    late = links(cut(more.join(tried, ["x", "y"], "left_anti")), sets, num, den)
+    found = cut(stars(pairs, sets, num, den))
+    first = found.where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    late = late_links(found, components(first), num, den).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     # Rows that repeat an id with another text.
     twice = held.where("id is not null").groupBy("id").agg(F.min("cls").alias("src"), F.max("cls").alias("most")).where("src <> most")
     same = held.join(twice.select("id", "src"), "id").select("src", F.col("cls").alias("dst")).where("src <> dst")
-    final = components(found.union(late).select(F.col("x").alias("src"), F.col("y").alias("dst")).union(same)).withColumnRenamed("id", "cls")
+    final = components(first.union(late).union(same)).withColumnRenamed("id", "cls")
     whole = reps.join(final, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     named = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = whole.join(named, "component").select("cls", "component_id")
