@@ -38,9 +38,9 @@ from loomgraph.iterate import components, cut
 from loomgraph.llm.common import as_bytes, merged_table, pack_table, words
 
 #: Size of the table of n-gram counts, and of the bit table that preselects texts to be compared.
-COUNT_BITS, FILTER_BITS, BLOCKS = 22, 24, 64
+COUNT_BITS, FILTER_BITS, BLOCKS = 24, 24, 64
 #: One more deciding n-gram has to be shared for each so many n-grams of a set.
-GROW = 32
+GROW = 24
 #: Rows and columns of a block of the product.
 BLOCK, CHUNK = 1024, 4096
 #: Rows of one task's share of a class's comparisons.
@@ -110,7 +110,7 @@ def incidence(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col
     """Per row: id, n (size of the set), cls (equal for equal sets; null for an empty one), head (the deciding n-grams)."""
     # Ranks need no more than the order of magnitude of a slot's count.
     counts = count_table(docs, n, text_col)
-    ranks = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.log2(counts + 1.0) * 8).astype(np.uint8))
+    ranks = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.log2(counts + np.float32(1)) * 8).astype(np.uint8))
     rows = docs.select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("raw__"))
     schema = rows.select("id").schema.add("n", "long").add("cls", "long")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", head array<bigint>"
@@ -230,9 +230,9 @@ def block_links(ids: list[int], comps: list[int], sizes: list[int], aparts: list
 
 def late_links(stars_: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
     """(x, y) links that join components within leaders' groups, by the blocked product."""
-    # The pair (x, x) stands for the leader itself.
-    group = stars_.select("x", "y", "n", "apart")
-    member = group.join(comp.withColumnRenamed("id", "y"), "y", "left").withColumn("component", F.coalesce("component", "y"))
+    # The leader itself has met all of its group.  What is wide, the differences, moves with the last two steps only.
+    member = stars_.select("x", "y").join(comp.withColumnRenamed("id", "y"), "y", "left").withColumn("component", F.coalesce("component", "y"))
+    member = cut(member.select("x", "y", "component"))
     sizes = member.groupBy("x", "component").count()
     several = sizes.groupBy("x").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
@@ -241,7 +241,7 @@ def late_links(stars_: DataFrame, comp: DataFrame, num: int, den: int) -> DataFr
     # Blocks 0 .. others-1 hold what is outside the main component, the following ones the main component.
     own = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("y"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("y"), F.col("others"))).cast("int")
     mates = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
-    rows = rows.withColumn("own", own).withColumn("mate", F.explode(mates)).select("x", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "y", "component", "n", "apart")
+    rows = rows.withColumn("own", own).withColumn("mates", mates).select("x", "y", "component", "own", "mates").join(stars_.select("x", "y", "n", "apart"), ["x", "y"]).withColumn("mate", F.explode("mates")).select("x", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "y", "component", "n", "apart")
     parts = int(stars_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "x", "i", "j").sortWithinPartitions("x", "i", "j")
 
@@ -283,7 +283,7 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col:
     shared = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
     columns = cut(columns.join(shared, "gram"))
     least = columns.groupBy("gram").agg(F.min("cls").alias("x"))
-    pairs = cut(columns.join(least, "gram").select("x", F.col("cls").alias("y")).distinct())
+    pairs = cut(columns.join(least, "gram").where("x <> cls").select("x", F.col("cls").alias("y")).distinct())
     # Only texts that share enough deciding n-grams are ever compared.
     sets = cut(_sets(docs, columns.select("cls").distinct().join(reps, "cls"), n, id_col, text_col))
     found = cut(stars(pairs, sets, num, den))
