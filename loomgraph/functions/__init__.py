@@ -1,0 +1 @@
+"""Scalar and aggregate functions of the query language."""

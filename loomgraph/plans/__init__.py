@@ -1,0 +1 @@
+"""From query text to DataFrames: parser, scope and emission."""
