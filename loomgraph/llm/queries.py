@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontaminate, html, jaccard, language, mixing, topk, toxicity, urls
+from loomgraph.llm import chat, decontaminate, html, jaccard, language, lm, mixing, topk, toxicity, urls
 from loomgraph.llm.common import remainder, table
 
 #: The rules op3 applies: host, path, verdict.
@@ -16,6 +16,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=2.0)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = remainder(F.col("doc_id"), 5)
+    fold = F.coalesce(remainder(F.col("doc_id"), lm.FOLD) == lm.FOLD_AT, F.lit(False))
+    return lm.score(table(spark, sf_dir, "documents"), F.coalesce(rest != 1, F.lit(False)), rest == 1, fold)
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
@@ -60,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_mixing, op3_url_rules, op4_toxicity, op5_language, op6_top_k, op7_chat, op8_html, op9_decontamination, op10_jaccard, pipeline)
+    own = (op1_mixing, op2_lm_score, op3_url_rules, op4_toxicity, op5_language, op6_top_k, op7_chat, op8_html, op9_decontamination, op10_jaccard, pipeline)
     return {f.__name__: f for f in own}
 
 
