@@ -31,7 +31,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 2048, 4096
 #: Any bytes that text does not hold.
 PRIMER = bytes(range(1, 9)) + bytes(range(14, 32)) + b"\x7f" + bytes(range(128, 133))
 #: Bounds of the training sample: labelled documents of each class, and bytes taken from a long one (in slices).
-MAX_TOXIC, MAX_ORDINARY, SLICE, SLICES = 2500, 7500, 4096, 8
+MAX_TOXIC, MAX_ORDINARY, SLICE, SLICES = 1500, 4000, 4096, 8
 #: Length differences from which a window counts.
 CUTS = (1, 2, 3, 4, 5, 6)
 #: Differences of this many distinct windows are kept at hand.
@@ -45,9 +45,10 @@ def windows(raw: bytes) -> list[bytes]:
     return own
 
 
-def _starts(raw: bytes) -> Counter:
+def _starts(raw: bytes, among=None) -> Counter:
     """Occurrences, up to BURST, of word beginnings of LEAST to MOST bytes."""
-    found = Counter(w[:k] for w in words(raw) for k in range(LEAST, min(len(w), MOST) + 1))
+    starts = (w[:k] for w in words(raw) for k in range(LEAST, min(len(w), MOST) + 1))
+    found = Counter(starts if among is None else (s for s in starts if s in among))
     return Counter({w: min(c, BURST) for w, c in found.items()})
 
 
@@ -56,8 +57,10 @@ def contrast(toxic: list[bytes], ordinary: list[bytes], share: float = SHARE) ->
     seen, totals = [Counter(), Counter()], [1, 1]
     for c, texts in enumerate((toxic, ordinary)):
         for t in sorted(set(texts)):
-            seen[c].update(_starts(t))
+            seen[c].update(_starts(t, seen[0] if c else None))
             totals[c] += len(words(t))
+        if not c:  # what is rare in toxic text can't be chosen and needs no count in ordinary text
+            seen[0] = Counter({w: n for w, n in seen[0].items() if n >= 3})
     n1, n0 = totals
     gain = {}
     for w, a in seen[0].items():
