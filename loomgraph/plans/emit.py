@@ -95,6 +95,7 @@ class Emitter:
     def __init__(self, graph: PropertyGraph, params: dict, query: P.Query):
         self.g, self.params, self.spark = graph, params, graph.spark
         self.local: dict[str, Column] = {}
+        self.local_types: dict[str, T.DataType] = {}
         props = {x[2] for x in walk(query) if len(x) == 3 and x[0] == "prop" and isinstance(x[2], str)}
         props |= {k for x in walk(query) if len(x) == 2 and x[0] == "map" and isinstance(x[1], dict) for k in x[1]}
         props |= {i[1] for x in walk(query) if len(x) == 3 and x[0] == "mapproj" for i in x[2] if i[0] == "own"}
@@ -633,12 +634,14 @@ class Emitter:
         if kind == "case":
             out = None
             for w, t in e[2]:
-                cond = self.ex(w, frame) if e[1] is None else self.equal(self.ex(e[1], frame), self.ex(w, frame), frame)
+                cond = self.ex(w, frame).cast("boolean") if e[1] is None else self.equal(self.ex(e[1], frame), self.ex(w, frame), frame)
                 out = F.when(cond, self.ex(t, frame)) if out is None else out.when(cond, self.ex(t, frame))
             return out if e[3] is None else out.otherwise(self.ex(e[3], frame))
         if kind in ("listcomp", "quant"):
             src = self.ex(e[3] if kind == "quant" else e[2], frame)
             var, cond = (e[2], e[4]) if kind == "quant" else (e[1], e[3])
+            if isinstance(t := self.dtype(frame, src), T.ArrayType):
+                self.local_types[var] = t.elementType
             test = lambda x: self.inside({var: x}, cond, frame)
             if kind == "quant":
                 if e[1] == "all":
@@ -658,6 +661,8 @@ class Emitter:
             t = self.dtype(frame, start)
             if isinstance(t, T.IntegralType) and "double" in self.dtype(frame, items).simpleString():
                 start = start.cast("double")
+            kinds = self.dtype(frame, items)
+            self.local_types |= {acc: t} | ({var: kinds.elementType} if isinstance(kinds, T.ArrayType) else {})
             return F.aggregate(items, start, lambda a, x: self.inside({acc: a, var: x}, body, frame))
         if kind == "labels":
             own = self.variable_part(e[1], "labels", frame)
@@ -778,6 +783,12 @@ class Emitter:
             return {"STARTS WITH": F.startswith, "ENDS WITH": F.endswith, "CONTAINS": F.contains}[op](a, b)
         if op == "=~":
             return F.rlike(a, F.concat(F.lit("^(?:"), b, F.lit(")$")))
+        if op == "+" and self.local:
+            known = [self.local_types.get(x[1]) if x[0] == "var" and x[1] in self.local else T.StringType() if x[0] == "lit" and isinstance(x[1], str) else None for x in e[2:]]
+            if any(isinstance(t, T.StringType) for t in known):
+                return F.concat(a.cast("string"), b.cast("string"))
+            if any(isinstance(t, T.ArrayType) for t in known):
+                return F.concat(*[F.array(x) if t is not None and not isinstance(t, T.ArrayType) else x for x, t in zip((a, b), known, strict=True)])
         return self.arithmetic(op, a, b, frame)
 
     def arithmetic(self, op: str, a: Column, b: Column, frame: Frame) -> Column:
