@@ -264,7 +264,7 @@ def test_lm_decisions_are_a_distribution():
     rng = np.random.default_rng(1)
     sp = lm.Speller(rng.integers(0, 1000, 256), np.zeros((lm.BUCKETS, lm.BUCKETS)))
     logit, seen = lm.quantize(rng.integers(0, 50, (lm.SLOTS, 2)).astype(np.uint32))
-    model = {"logit": logit, "seen": seen, "weights": rng.normal(0.25, 0.1, (lm.GATES, 5)).astype(np.float32), "map": rng.normal(0, 0.01, lm.MAP_PLACES * lm.MAP_STEPS).astype(np.float32)}
+    model = {"logit": logit.astype(np.float32), "seen": seen, "weights": rng.normal(0.25, 0.1, (lm.GATES, 5)).astype(np.float32), "map": rng.normal(0, 0.01, lm.MAP_PLACES * lm.MAP_STEPS).astype(np.float32)}
     assert len(sp.lengths) == 256 and abs(sum(2.0 ** -sp.lengths) - 1) < 1e-12
     total = 0.0
     for b in range(256):
