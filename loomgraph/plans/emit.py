@@ -363,8 +363,10 @@ class Emitter:
             hit = level.join(pairs, (level["s"] == pairs["s"]) & (F.col("at") == F.col("t"))).select(level["s"].alias("s"), "t", "rels", "nodes")
             found = hit if found is None else found.unionByName(hit)
             seen = cut(seen.unionByName(level.select("s", "at").distinct()))
-            if not level.limit(1).count() or k >= MAX_HOPS and hi is None:
+            if not level.limit(1).count():
                 break
+            if k >= MAX_HOPS and hi is None:
+                raise CypherError(f"a shortest path goes on beyond {MAX_HOPS} hops")
         df = frame.df.join(found.withColumnRenamed("s", "#s").withColumnRenamed("t", "#t"), (c(f"{a.var}#id") == c("#s")) & (c(f"{b.var}#id") == c("#t"))).drop("#s", "#t")
         df = df.withColumn(f"{r.var}#rels", F.col("rels")).withColumn(f"{r.var}#ids", F.transform("rels", lambda x: x["id"])).withColumn(f"{r.var}#nodes", F.slice("nodes", F.lit(2), F.size("rels")))
         bound = {r.var: Binding("rels")}
