@@ -2,7 +2,7 @@
 
 Every text node belongs to a root-to-leaf tag path.  Text length and punctuation are summed per path and divided by
 the path's number of nodes; both ratios are smoothed over the page's node sequence, fused by multiplication, and
-paths above a threshold mark the content.  The container that holds most of the marked text is the article; its nodes
+paths above a threshold mark the content.  The container that holds all of the marked text is the article; its nodes
 are returned block by block, without the parts whose element or class says that they are not the article's own text.
 
 Defined results: null, empty and tag-only pages give an empty text; broken markup is read leniently (an unclosed
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from html import unescape
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,20 +126,12 @@ def extract(html: str | None) -> str:
         fused[p] = max(fused.get(p, 0.0), a * b)
     least = SHARE * sum(fused[p] * sums[p][0] for p in fused) / sum(s[0] for s in sums.values())
     marked = {p for p in fused if fused[p] >= least}
-    # The container: the article or main element of the marked text, else the deepest element that holds 0.7 of it.
-    weight: dict[tuple[str, ...], int] = defaultdict(int)
-    for p in marked:
-        cut = next((i + 1 for i, t in enumerate(p) if t in ("article", "main")), None)
-        for i in range(len(p) + 1):
-            if i == cut or cut is None and (i == 0 or p[i - 1] in BLOCKS and p[i - 1] not in ("p", "li", *HEADINGS)):
-                weight[p[:i]] += sums[p][0]
-    whole = sum(sums[p][0] for p in marked)
-    named = [q for q in weight if q and q[-1] in ("article", "main")]
-    if named and sum(weight[q] for q in named) >= 0.3 * whole:
-        roots = set(named)
-    else:
-        roots = {max((q for q in weight if weight[q] >= 0.7 * whole), key=lambda q: (len(q), weight[q], q), default=())}
-    inside = [n for n in own if any(n[0][: len(r)] == r for r in roots)]
+    # The container: the deepest element that holds all marked text; inside an article or main element, all of that.
+    root = commonprefix(sorted(marked))
+    while root and (root[-1] not in BLOCKS or root[-1] in ("p", "li", *HEADINGS)):
+        root = root[:-1]
+    root = root[: next((i + 1 for i, t in enumerate(root) if t in ("article", "main")), len(root))]
+    inside = [n for n in own if n[0][: len(root)] == root]
     parts: dict[int, list[str]] = {}
     for _, block, t in inside:
         parts.setdefault(block, []).append(t)
