@@ -2,12 +2,14 @@
 
 Lines that begin with ``>`` signs are quotes; their number is the level.  Neighbouring quoted lines of one level are a
 passage.  A passage is normalised (A-Z lower-cased, everything but letters and digits made single spaces) and hashed,
-and so are the paragraphs and the whole of what each message says itself.  A hash joins a passage to the message that
-says it: the latest earlier turn of its conversation that does, else the least other message.  The message quoted
+and so are the paragraphs and the whole of what each message says itself.  A message also says a passage when it holds
+all of the passage's sentences (parts of lines) in order, as in a partial quote: passages meet messages by the sentence
+that the fewest messages hold, and the sentences themselves are compared.  A passage is joined to the message that says
+it: the latest earlier turn of its conversation that does, else the least other message.  The message quoted
 at the lowest level is the one replied to.  Replies form threads, whose roots are found by pointer doubling; each
 message is returned without its quotes, with its thread, its depth and whom it replies to.
 
-Only one candidate is kept per hash and conversation, and one per hash, so a sentence said by everyone joins once.
+Only one candidate is kept per hash and conversation, and one per hash, so a passage said by everyone joins once.
 
 Defined results: a null text is empty; a null conversation or turn is a message that is never quoted; rows that repeat
 (conversation, turn) are messages of their own and are quoted as one, by the least text; a passage nobody says links
@@ -50,6 +52,26 @@ def _runs(lines: Column) -> Column:
     )
 
 
+def _sentences(text: Column) -> Column:
+    """Normalised sentences of each line, in order, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n|(?<=[.!?\u2026])[ \t]+"), normal), lambda s: s != "")
+
+
+def _partial(base: DataFrame, passages: DataFrame) -> DataFrame:
+    """(conv__, turn__, hash) of the messages that hold all sentences of a passage, in order."""
+    asked = passages.groupBy("hash").agg(F.min("sentences").alias("sentences"))
+    wanted = cut(asked.select("hash", "sentences", F.explode("sentences").alias("sentence")).withColumn("s__", F.xxhash64("sentence")))
+    own = base.where("conv__ is not null and turn__ is not null").select("key__", F.explode(F.array_distinct(F.transform(_sentences(F.col("own__")), lambda s: F.xxhash64(s)))).alias("s__"))
+    holds = cut(own.join(wanted.select("s__").distinct(), "s__", "left_semi").distinct())
+    often = holds.groupBy("s__").agg(F.count(F.lit(1)).alias("k"))
+    # A message that holds all of a passage holds its rarest sentence; one that nobody holds ends the passage.
+    rarest = wanted.join(often, "s__", "left").groupBy("hash").agg(F.min("sentences").alias("sentences"), F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "s__")).alias("m"))
+    pairs = rarest.where("m.k > 0").select("hash", "sentences", F.col("m.s__").alias("s__")).join(holds, "s__")
+    rows = pairs.join(base.select("key__", "conv__", "turn__", "own__").dropDuplicates(["key__"]), "key__")
+    held = F.aggregate(_sentences(F.col("own__")), F.lit(0), lambda n, s: n + F.when(F.try_element_at("sentences", n + 1) == s, 1).otherwise(0))
+    return rows.where(held == F.size("sentences")).select("conv__", "turn__", "hash")
+
+
 def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", keep: list[str] | None = None, max_rounds: int = 40) -> DataFrame:
     """``keep`` columns (conversation, turn and role by default) of each message, with its text without quotes (text), n_quotes,
     quote_level (deepest), reply_conv and reply_turn (null if it replies to none), thread_conv and thread_turn (the first
@@ -64,9 +86,10 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     base = cut(base.withColumn("key__", F.xxhash64("conv__", "turn__", "own__", "quotes__")))
     # What each message says: its paragraphs and lines, and all of it.
     pieces = F.concat(F.split("own__", r"\n\s*\n"), F.split("own__", r"\n"), F.array(F.col("own__")))
-    passages = base.select("conv__", "turn__", "key__", F.explode("quotes__").alias("q")).select("conv__", "turn__", "key__", F.col("q.level").alias("level"), normal(F.col("q.text")).alias("norm")).where("norm <> ''").withColumn("hash", F.xxhash64("norm"))
+    passages = base.select("conv__", "turn__", "key__", F.explode("quotes__").alias("q")).select("conv__", "turn__", "key__", F.col("q.level").alias("level"), normal(F.col("q.text")).alias("norm"), _sentences(F.col("q.text")).alias("sentences")).where("norm <> ''").withColumn("hash", F.xxhash64("norm"))
     asked = passages.select("hash").distinct()
-    says = base.where("conv__ is not null and turn__ is not null").select("conv__", "turn__", F.explode(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(normal(p))))).alias("hash")).join(asked, "hash", "left_semi").distinct()
+    says = base.where("conv__ is not null and turn__ is not null").select("conv__", "turn__", F.explode(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(normal(p))))).alias("hash")).join(asked, "hash", "left_semi")
+    says = cut(says.select("conv__", "turn__", "hash").union(_partial(base, passages)).distinct())
     anyone = says.groupBy("hash").agg(F.min(F.struct("conv__", "turn__")).alias("any"))
     # One row per (hash, conversation, turn) that is quoted in that same conversation; the latest earlier one is taken.
     here = passages.select("conv__", "turn__", "hash").distinct().alias("p").join(says.alias("s"), (F.col("p.hash") == F.col("s.hash")) & (F.col("p.conv__") == F.col("s.conv__")) & (F.col("s.turn__") < F.col("p.turn__")))
