@@ -139,6 +139,27 @@ CYPHER: dict[str, tuple[str, str]] = {
         "MATCH (a:Supplier)-[:SUPPLIES]->(p:Part)<-[:SUPPLIES]-(b:Supplier) WHERE a.s_suppkey < b.s_suppkey AND p.p_size < 5 RETURN a.s_suppkey AS a, b.s_suppkey AS b, count(*) AS n",
         "WITH d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 5) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM d x JOIN d y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2",
     ),
+    # The queries of the same names without _all, over whole tables.
+    "expand_into_all": (
+        "MATCH (p:Part)-[:SUPPLIED_BY]->(s:Supplier) MATCH (s)-[:SUPPLIES]->(p) RETURN count(*) AS n",
+        "SELECT count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey",
+    ),
+    "relationship_uniqueness_all": (
+        "MATCH (a:Order)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(b:Order) RETURN count(*) AS n",
+        "SELECT coalesce(sum(k * (k - 1)), 0)::BIGINT AS n FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_partkey)",
+    ),
+    "var_length_all": (
+        "MATCH (c:Customer)-[:CUST_NATION|IN_REGION*1..2]->(x) RETURN c.c_custkey AS k, count(x) AS n",
+        "SELECT c_custkey AS k, 2::BIGINT AS n FROM customer",
+    ),
+    "named_path_all": (
+        "MATCH p = (c:Customer)-[:CUST_NATION]->(:Nation)-[:IN_REGION]->(r:Region) RETURN length(p) AS l, size(nodes(p)) AS s, r.r_name AS r, count(*) AS n",
+        "SELECT 2::BIGINT AS l, 3::BIGINT AS s, r_name AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    ),
+    "common_suppliers_all": (
+        "MATCH (a:Supplier)-[:SUPPLIES]->(p:Part)<-[:SUPPLIES]-(b:Supplier) WHERE a.s_suppkey < b.s_suppkey RETURN a.s_suppkey AS a, b.s_suppkey AS b, count(*) AS n",
+        "WITH d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM d x JOIN d y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2",
+    ),
 }
 
 
@@ -176,6 +197,11 @@ def bfs_levels(spark, sf_dir):
     return iterative.bfs(_user_edges(spark, sf_dir), s, 3).groupBy("depth").count().withColumnRenamed("count", "n")
 
 
+def bfs_levels_all(spark, sf_dir):
+    s = spark.createDataFrame([(0,)], "id bigint")
+    return iterative.bfs(_user_edges(spark, sf_dir), s).groupBy("depth").count().withColumnRenamed("count", "n")
+
+
 def sssp(spark, sf_dir):
     s = spark.createDataFrame([(0,)], "id bigint")
     return iterative.dijkstra(_user_edges(spark, sf_dir), s).select("id", "distance")
@@ -242,6 +268,7 @@ _UNDIRECTED = "u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS
 ALGORITHMS = {
     "wcc": (wcc, "WITH c AS (SELECT c_custkey + 1000000 AS src, c_nationkey::BIGINT AS dst FROM customer) SELECT src AS id, dst AS component FROM c UNION SELECT dst, dst FROM c"),
     "bfs_levels": (bfs_levels, f"WITH RECURSIVE {_USER_SQL}, r(id, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.id WHERE depth < 3), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1) SELECT depth, count(*) AS n FROM m GROUP BY 1"),
+    "bfs_levels_all": (bfs_levels_all, None),
     "sssp": (sssp, None),
     "triangle_total": (triangle_total, f"WITH {_USER_SQL}, {_UNDIRECTED} SELECT count(*) AS n FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b"),
     "degree_table": (degree_table, f"WITH {_USER_SQL} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1"),
