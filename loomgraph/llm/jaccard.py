@@ -19,7 +19,8 @@ fixed size; any table gives whole results, a fuller one fewer candidates.  Colum
 
 Two linked classes share a column, so a leader, and meet in a block unless they are in one component before: every link
 between different components is found.  A block returns what joins components, so no task emits all pairs of a group.
-There is no cap on columns, groups or partners.
+There is no cap on columns, groups or partners.  Where links are to be counted, whole groups are multiplied, main
+component and all, and a block returns each row's number of partners.
 
 Classes and n-grams go by 64-bit hashes.  Defined results: null texts are empty; a row with a null id gets the
 component of the texts it links with, null if there is none; rows that repeat an id with other texts count as linked;
@@ -191,11 +192,11 @@ def stars(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "x bigint, y bigint, n bigint, linked boolean, apart binary")
 
 
-def block_links(ids: list[int], comps: list[int], sizes: list[int], aparts: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between rows of different components that join them, one per join; aparts: differences from one leader."""
-    n, d = np.array(sizes, np.float64), np.array([len(a) // 8 for a in aparts], np.float64)
-    grams = np.frombuffer(b"".join(aparts), np.uint64)
-    owner = np.repeat(np.arange(len(ids)), d.astype(np.int64))
+def overlaps(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each list of distinct 64-bit values, and how many each two lists share."""
+    d = np.array([len(a) // 8 for a in lists], np.float64)
+    grams = np.frombuffer(b"".join(lists), np.uint64)
+    owner = np.repeat(np.arange(len(lists)), d.astype(np.int64))
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
@@ -203,15 +204,27 @@ def block_links(ids: list[int], comps: list[int], sizes: list[int], aparts: list
     column = np.repeat(np.cumsum(runs > 1) - 1, runs)
     held = np.repeat(runs > 1, runs)
     column, owner = column[held], owner[held]
-    shared = np.zeros((len(ids), len(ids)), np.float32)
+    shared = np.zeros((len(lists), len(lists)), np.float32)
     for at in range(0, int(column.max(initial=-1)) + 1, CHUNK):
         here = (column >= at) & (column < at + CHUNK)
-        part = np.zeros((len(ids), CHUNK), np.float32)
+        part = np.zeros((len(lists), min(CHUNK, int(column.max()) + 1 - at)), np.float32)
         part[owner[here], column[here] - at] = 1
         shared += part @ part.T
+    return d, shared
+
+
+def linked_pairs(sizes: list[int], aparts: list[bytes], num: int, den: int) -> np.ndarray:
+    """Whether each two rows are linked, above the diagonal; aparts: differences from one leader."""
+    n = np.array(sizes, np.float64)
+    d, shared = overlaps(aparts)
     apart = d[:, None] + d[None, :] - 2 * shared
     both = (n[:, None] + n[None, :] - apart) / 2
-    x, y = np.nonzero(np.triu(den * both >= num * (both + apart), 1))
+    return np.triu(den * both >= num * (both + apart), 1)
+
+
+def block_links(ids: list[int], comps: list[int], sizes: list[int], aparts: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between rows of different components that join them, one per join; aparts: differences from one leader."""
+    x, y = np.nonzero(linked_pairs(sizes, aparts, num, den))
     parent = {c: c for c in comps}
 
     def root(c: int) -> int:
@@ -266,8 +279,67 @@ def late_links(stars_: DataFrame, comp: DataFrame, num: int, den: int) -> DataFr
     return rows.mapInArrow(run, "x bigint, y bigint")
 
 
-def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row: component_id is the least id reachable by links."""
+def link_counts(stars_: DataFrame, sized: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+    """(y, n_links): rows of other classes that each class links with, by the blocked product of all of a leader's group.
+
+    Two linked classes share a leader; where they share several, the least one's group counts the link.
+    """
+    leaders = stars_.select("x").distinct().join(sized, F.col("x") == F.col("cls")).select("x", F.col("x").alias("y"), "n", F.lit(b"").alias("apart"))
+    group = stars_.select("x", "y", "n", "apart").union(leaders)
+    members = stars_.select("x", "y").union(stars_.select("x", F.col("x").alias("y")).distinct())
+    # No more leaders a class than it has deciding n-grams.
+    of = members.groupBy("y").agg(F.collect_list("x").alias("of")).join(copies, F.col("y") == F.col("cls")).select("y", "of", "copies")
+    blocks = members.groupBy("x").count().select("x", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(blocks, "x").join(of, "y").select("x", "y", "blocks", "copies", F.filter("of", lambda o: o < F.col("x")).alias("before"))
+    rows = rows.join(group, ["x", "y"]).withColumn("own", F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("x", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "own", "y", "copies", "n", "apart", "before")
+    parts = int(stars_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "x", "i", "j").sortWithinPartitions("x", "i", "j")
+
+    def run(batches):
+        key, held, ys, ns = None, [], [], []
+
+        def done():
+            own, y, copies_, sizes, aparts, before = zip(*held, strict=True)
+            held.clear()
+            if len(y) < 2:
+                return
+            pairs = linked_pairs(list(sizes), list(aparts), num, den)
+            if key[1] != key[2]:  # each block with itself is a block of its own
+                pairs &= np.array(own)[:, None] != np.array(own)[None, :]
+            if pairs.any() and any(before):
+                pairs &= overlaps([np.array(o, np.int64).tobytes() for o in before])[1] == 0
+            weight = np.array(copies_, np.float64)
+            total = (pairs @ weight + weight @ pairs).astype(np.int64)
+            ys.extend(np.array(y, np.int64)[total > 0].tolist())
+            ns.extend(total[total > 0].tolist())
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(ys, pa.int64()), pa.array(ns, pa.int64())], names=["y", "n_links"])
+            ys.clear()
+            ns.clear()
+            return out
+
+        for b in batches:
+            for x, i, j, *row in zip(*(b.column(c).to_pylist() for c in range(9)), strict=True):
+                if (x, i, j) != key:
+                    if held:
+                        done()
+                    key = (x, i, j)
+                held.append(row)
+            yield batch()
+        if held:
+            done()
+        yield batch()
+
+    return rows.mapInArrow(run, "y bigint, n_links bigint").groupBy("y").agg(F.sum("n_links").alias("n_links"))
+
+
+def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) for every row: component_id is the least id reachable by links.
+
+    With links, also n_links: how many other rows the row's text links with, copies of it included.
+    """
     base = cut(incidence(docs, n, num, den, id_col, text_col))
     held = base.where("cls is not null")
     reps = held.groupBy("cls").agg(F.min("id").alias("rep"))
@@ -296,4 +368,11 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col:
     whole = reps.join(final, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     named = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = whole.join(named, "component").select("cls", "component_id")
-    return base.select("id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left").select("id", "n_shingles", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = base.select("id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")
+    plain = ["id", "n_shingles", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")]
+    if not links:
+        return out.select(*plain)
+    copies = held.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
+    others = link_counts(found, sized, copies, num, den).withColumnRenamed("y", "cls")
+    n_links = copies.join(others, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return out.join(n_links, "cls", "left").select(*plain, F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -59,6 +59,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100).withColumnRenamed("id", "doc_id")
 
 
+def op10_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_jaccard with each document's number of links."""
+    return jaccard.classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100, links=True).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_mixing, op2_lm_score, op3_url_rules, op4_toxicity, op5_language, op6_top_k, op7_chat, op8_html, op9_decontamination, op10_jaccard, pipeline)
+    own = (op1_mixing, op2_lm_score, op3_url_rules, op4_toxicity, op5_language, op6_top_k, op7_chat, op8_html, op9_decontamination, op10_jaccard, op10_jaccard_links, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -101,6 +106,7 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.g = b.g AND
 reach(root, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.root, l.y FROM reach r JOIN links l ON l.x = r.node)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, (SELECT min(r.node) FROM reach r WHERE r.root = n.doc_id) AS component_id FROM n""",
 }
+ORACLES["op10_jaccard_links"] = ORACLES["op10_jaccard"].removesuffix(" FROM n") + ", (SELECT count(*) FROM links l WHERE l.x = n.doc_id) AS n_links FROM n"
 
 
 def oracle_sql() -> dict[str, str]:
