@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.iterate import checkpoint_dir
+from loomgraph.iterate import checkpoint_dir, cut
 from loomgraph.llm import decontaminate, jaccard, language, mixing, toxicity
 from loomgraph.llm.common import remainder, table
 
@@ -15,9 +15,19 @@ from loomgraph.llm.common import remainder, table
 LEAST_SURE = 0.4
 
 
-def _kept(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose id is (left_semi) or isn't (left_anti) among ids; all columns stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("id__")).distinct(), F.col("doc_id").eqNullSafe(F.col("id__")), how)
+#: What stands for a row where stages remove rows: null ids last, and a repeated id apart by its text.
+KEY = "key__"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with a key that only rows of the same id and text share."""
+    return docs.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents whose key isn't among keys."""
+    gone = keys.select(F.col(KEY).alias("gone__")).distinct()
+    return docs.join(gone, F.col(KEY) == F.col("gone__"), "left_anti")
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +44,21 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates (five words, similarity 0.8)."""
-    groups = jaccard.classes(docs, n=5, num=4, den=5)
-    return _kept(docs, groups.where("id <> component_id").select(F.col("id").alias("doc_id")), "left_anti")
+    """The row with the least id of each group of near duplicates (five words, similarity 0.8); rows without words stay."""
+    own = _keyed(docs)
+    groups = cut(jaccard.classes(own, n=5, num=4, den=5, id_col=KEY))
+    least = _without(own, groups.where("id <> component_id").select(F.col("id").alias(KEY)))
+    # Rows that share id and text: one of them, the least by all columns.
+    twice = groups.where("n_shingles > 0").groupBy("id").count().where("count > 1").select(F.col("id").alias(KEY))
+    equals = least.join(twice.select(F.col(KEY).alias("twice__")), F.col(KEY) == F.col("twice__"), "left_semi")
+    one = equals.groupBy(KEY).agg(F.min(F.struct(*docs.columns)).alias("row__"))
+    return _without(least, twice).select(*docs.columns).union(one.select("row__.*"))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _kept(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "left_anti")
+    own = _keyed(docs)
+    return _without(own, decontaminate.leaks(own, table(spark, sf_dir, "benchmark"), id_col=KEY)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +68,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", by_language), ("toxicity", by_toxicity), ("near_duplicates", one_of_each_group), ("decontamination", without_leaks), ("mixing", mixed)]
 
-#: The first two stages apply trained models, which SQL can't express; tests hold run() against a brute-force version.
+#: The first two stages apply trained models, which SQL can't express; tests hold near duplicates and leaks against brute force, and run() against the stages.
 ORACLE_SQL = None
 
 
