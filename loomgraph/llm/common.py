@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.iterate import checkpoint_dir
+
 #: A word is a run of anything but these six ASCII white-space bytes; bytes.split() follows the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,6 +35,21 @@ def words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the checkpoint folder: lineage ends there, and every executor reads it."""
+    path = f"{checkpoint_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.saved_path = path
+    return out
+
+
+def drop_saved(df: DataFrame) -> None:
+    """Delete a table that ``saved`` wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pack_table(values: np.ndarray, blocks: int) -> list[tuple[int, bytes]]:
     """A flat table as (block number, compressed block) pairs; blocks of zeros are left out."""
     return [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(values.reshape(blocks, -1)) if b.any()]

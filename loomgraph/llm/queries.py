@@ -18,8 +18,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = remainder(F.col("doc_id"), 5)
-    fold = F.coalesce(remainder(F.col("doc_id"), lm.FOLD) == lm.FOLD_AT, F.lit(False))
-    return lm.score(table(spark, sf_dir, "documents"), F.coalesce(rest != 1, F.lit(False)), rest == 1, fold)
+    return lm.score(table(spark, sf_dir, "documents"), F.coalesce(rest != 1, F.lit(False)), rest == 1)
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

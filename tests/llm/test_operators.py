@@ -239,9 +239,8 @@ def test_html(spark):
 
 def test_lm(spark, docs, none):
     rest = remainder(F.col("doc_id"), 5)
-    fold = F.coalesce(remainder(F.col("doc_id"), 50) == 2, F.lit(False))
     learn = F.coalesce(rest != 1, F.lit(False))
-    got = lm.score(docs, learn, rest == 1, fold).collect()
+    got = lm.score(docs, learn, rest == 1).collect()
     rows = docs.collect()
     assert len(got) == len(rows)
     tok = lambda t: [*(t or "").encode().lower().split(), b""]
@@ -256,25 +255,7 @@ def test_lm(spark, docs, none):
         base = sum(math.log10((count.get(x, 0) + 0.5) / (total + 0.5 * (len(count) + 1))) for x in w)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in count for x in w), total)
         assert abs(r["base_score"] - base) < 1e-6 * max(1, -base) and r["score"] < 0
-    assert lm.score(none, learn, rest == 1, fold).count() == 0
-
-
-def test_lm_decisions_are_a_distribution():
-    """Over all next bytes of a word, the probabilities sum to one."""
-    rng = np.random.default_rng(1)
-    sp = lm.Speller(rng.integers(0, 1000, 256), np.zeros((lm.BUCKETS, lm.BUCKETS)))
-    logit, seen = lm.quantize(rng.integers(0, 50, (lm.SLOTS, 2)).astype(np.uint32))
-    model = {"logit": logit.astype(np.float32), "seen": seen, "weights": rng.normal(0.25, 0.1, (lm.GATES, 5)).astype(np.float32), "map": rng.normal(0, 0.01, lm.MAP_PLACES * lm.MAP_STEPS).astype(np.float32)}
-    assert len(sp.lengths) == 256 and abs(sum(2.0 ** -sp.lengths) - 1) < 1e-12
-    total = 0.0
-    for b in range(256):
-        slots, bits, place, owner = sp.decisions([b"ab" + bytes([b])], np.array([1]))
-        x, gate = lm.mix_inputs(model, slots)
-        _, _, p = lm.refined(model, x, gate, place)
-        lo = sp.lengths[ord("a")] + sp.lengths[ord("b")]
-        own = slice(lo, lo + sp.lengths[b])
-        total += np.prod(np.where(bits[own] > 0, p[own], 1 - p[own]))
-    assert abs(total - 1) < 1e-4
+    assert lm.score(none, learn, rest == 1).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
