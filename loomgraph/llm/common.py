@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,57 @@ def as_bytes(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def tokenized(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, word number of each token, number of tokens of each text) of UTF-8 texts, A-Z lower-cased."""
+    raw = np.frombuffer(b" ".join(raws).lower() + b" ", np.uint8)
+    space = SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
+    begin, size = edge[::2], np.diff(edge)[::2]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    plain = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~space])]).dictionary_encode()
+    text = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), begin, "right") if raws else begin
+    return plain.dictionary.to_pylist(), plain.indices.to_numpy(), np.bincount(text, minlength=len(raws))
+
+
+def release() -> None:
+    """Give freed memory back: a worker shares its executor's memory with a JVM and other workers."""
+    pa.default_memory_pool().release_unused()
+    _libc().malloc_trim(0)
+
+
+@functools.cache
+def _libc():
+    return ctypes.CDLL(None)
+
+
+def pieces(batches, column: int, most: int = 4 << 20):
+    """(batch of neighbouring rows, their texts), about ``most`` bytes of texts at a time."""
+    for b in batches:
+        texts = b.column(column if column >= 0 else b.num_columns + column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+            yield b.slice(first, last - first), texts.slice(first, last - first).to_pylist()
+            first = last
+            release()
+
+
+def portions(raws: list[bytes], most: int = 4 << 20):
+    """(first, last) of texts, about ``most`` bytes at a time."""
+    first, size = 0, 0
+    for i, raw in enumerate(raws):
+        size += len(raw)
+        if size >= most:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(raws):
+        yield first, len(raws)
+
+
 def words(raw: bytes) -> list[bytes]:
     """Words of a UTF-8 text with A-Z lower-cased (bytes.lower touches ASCII only)."""
     return raw.lower().split()
