@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.iterate import components, cut
-from loomgraph.llm.common import as_bytes, merged_table, pack_table, words
+from loomgraph.llm.common import as_bytes, merged_table, pack_table, portions, release, tokenized, words
 
 #: Size of the table of n-gram counts, and of the bit table that preselects texts to be compared.
-COUNT_BITS, FILTER_BITS, BLOCKS = 24, 24, 64
+COUNT_BITS, FILTER_BITS, BLOCKS = 22, 24, 64
 #: One more deciding n-gram has to be shared for each so many n-grams of a set.
 GROW = 24
 #: Rows and columns of a block of the product.
@@ -50,31 +50,34 @@ MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 
 
 class Hasher:
-    """Sets of 64-bit n-gram hashes; words' own hashes are kept at hand, up to a bound."""
+    """Sets of 64-bit n-gram hashes."""
 
     def __init__(self, n: int):
         if not 1 <= n <= len(MUL):
             raise ValueError(f"n must be from 1 to {len(MUL)}")
-        self.n, self.known = n, {}
-
-    def grams(self, raw: bytes) -> np.ndarray:
-        """Distinct n-gram hashes, ascending."""
-        own, known = words(raw), self.known
-        if not own:
-            return np.empty(0, np.uint64)
-        if len(known) > 500_000:
-            known.clear()
-        for w in own:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        if len(own) < self.n:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(own), seed=1 + len(own))], np.uint64)
-        h = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
-        m, total = len(own) - self.n + 1, None
-        for k in range(self.n):
-            part = (h[k : k + m] ^ (h[k : k + m] >> np.uint64(29))) * MUL[k]
-            total = part if total is None else (total ^ (total >> np.uint64(31))) * MUL[0] + part
-        return np.unique(total ^ (total >> np.uint64(32)))
+        self.n = n
+
+    def grams(self, raws: list[bytes]):
+        """Each text's distinct n-gram hashes, ascending; words are hashed a few MB of texts at a time."""
+        for first, last in portions(raws):
+            release()
+            types, ids, counts = tokenized(raws[first:last])
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, types), np.uint64, len(types))[ids]
+            total = None
+            for k in range(self.n):
+                m = max(0, len(h) - self.n + 1)
+                part = (h[k : k + m] ^ (h[k : k + m] >> np.uint64(29))) * MUL[k]
+                total = part if total is None else (total ^ (total >> np.uint64(31))) * MUL[0] + part
+            total ^= total >> np.uint64(32)
+            ends = np.cumsum(counts).tolist()
+            for raw, end, count in zip(raws[first:last], ends, counts.tolist(), strict=True):
+                if count >= self.n:
+                    own = np.sort(total[end - count : end - self.n + 1])
+                    yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+                elif count:
+                    yield np.array([xxhash.xxh3_64_intdigest(b" ".join(words(raw)), seed=1 + count)], np.uint64)
+                else:
+                    yield np.empty(0, np.uint64)
 
 
 def _class(grams: np.ndarray) -> int:
@@ -97,8 +100,7 @@ def count_table(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     def run(batches):
         own, table = Hasher(n), np.zeros(1 << COUNT_BITS, np.uint32)
         for b in batches:
-            for raw in b.column(0):
-                g = own.grams(raw.as_py())
+            for g in own.grams(b.column(0).to_pylist()):
                 np.add.at(table, (g & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64), np.uint32(1))
         packed = pack_table(table, BLOCKS)
         if packed:
@@ -121,8 +123,7 @@ def incidence(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col
         mask = np.uint64((1 << COUNT_BITS) - 1)
         for b in batches:
             sizes, sigs, heads = [], [], []
-            for raw in b.column(1):
-                g = own.grams(raw.as_py())
+            for g in own.grams(b.column(1).to_pylist()):
                 sizes.append(len(g))
                 sigs.append(_class(g) if len(g) else None)
                 order = np.lexsort((g, rank[(g & mask).astype(np.int64)]))
@@ -155,8 +156,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
         for b in batches:
             h = b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
             hit = np.flatnonzero(bit[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1)
-            raw = b.column(1)
-            sets = [g for i in hit.tolist() if len(g := own.grams(raw[i].as_py()))]
+            sets = [g for g in own.grams(b.column(1).take(pa.array(hit)).to_pylist()) if len(g)]
             yield pa.RecordBatch.from_arrays([pa.array([_class(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["cls", "grams"])
 
     return rows.mapInArrow(run, "cls bigint, grams binary").join(wanted.select("cls"), "cls").dropDuplicates(["cls"])

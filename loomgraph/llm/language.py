@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes
+from loomgraph.llm.common import as_bytes, pieces
 
 WINDOW = 64
 WIDTHS = (2, 3, 4)
@@ -123,7 +123,9 @@ def fit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str
     The sample is bounded: about DOCS_PER_LANG documents per language, by hash of the id, WINDOWS_PER_DOC windows each.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    sizes = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not sizes:
         return None
     langs = sorted(r["lang"] for r in sizes)
@@ -150,8 +152,7 @@ def identify(docs: DataFrame, model: dict | None, *, keep: list[str], text_col:
     def run(batches):
         net = shared.value
         tables = net and _pair_tables(net)
-        for b in batches:
-            raw = b.column(b.num_columns - 1).to_pylist()
+        for b, raw in pieces(batches, -1):
             has = [i for i, t in enumerate(raw) if t] if net else []
             lang, score = ["und"] * len(raw), np.ones(len(raw))
             if has:

@@ -23,7 +23,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, words
+from loomgraph.llm.common import as_bytes, pieces, words
 
 LEVEL, PIECE = 9, 64
 LEAST, MOST, BURST, SHARE = 4, 12, 4, 0.1
@@ -150,12 +150,11 @@ def score(docs: DataFrame, model: dict | None, *, keep: list[str], text_col: str
     def run(batches):
         m = shared.value
         own = m and Compressors(m["plain"], m["toxic"])
-        for b in batches:
-            raw = b.column(b.num_columns - 1)
+        for b, raw in pieces(batches, -1):
             x = np.zeros((b.num_rows, len(CUTS) + 4))
             if m:
                 for i in range(b.num_rows):
-                    x[i] = own.features(raw[i].as_py())
+                    x[i] = own.features(raw[i])
             p = 1 / (1 + np.exp(-np.clip(x @ m["weights"][:-1] + m["weights"][-1], -30, 30))) if m else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
