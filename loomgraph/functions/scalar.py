@@ -13,10 +13,14 @@ DURATION = "struct<months:bigint,days:bigint,seconds:bigint,nanos:int>"
 
 def to_integer(c: Column, t: T.DataType) -> Column:
     if isinstance(t, T.StringType):
-        return F.coalesce(c.try_cast("long"), c.try_cast("double").try_cast("long"))
+        real = c.try_cast("double")
+        return F.coalesce(c.try_cast("long"), F.when((real >= -(2.0**63)) & (real < 2.0**63), real).try_cast("long"))
     if isinstance(t, T.BooleanType):
         return c.cast("long")
-    return F.when(F.isnan(c.cast("double")), F.lit(None)).otherwise(F.when(F.abs(c) < 2.0**63, c)).cast("long") if isinstance(t, T.FractionalType) else c.try_cast("long")
+    if isinstance(t, T.FractionalType):
+        fits = (c >= -(2.0**63)) & (c < 2.0**63)
+        return F.when(F.isnan(c.cast("double")), F.lit(None)).when(fits | c.isNull(), F.when(fits, c).cast("long")).otherwise(F.raise_error(F.lit("a float beyond the range of integers")).cast("long"))
+    return c.try_cast("long")
 
 
 def to_boolean(c: Column, t: T.DataType) -> Column:

@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Room for the keys of one label.
 LABEL_SHIFT = 1 << 48
 
 
+def placed(df: DataFrame) -> bool:
+    """Whether the rows are a file's as they are, so that each has a place there."""
+    try:
+        return bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 @dataclass
 class Rel:
     """Edges of one type: columns id, src, dst and properties; the labels of both ends where they are known."""
@@ -63,8 +73,15 @@ class PropertyGraph:
         return F.lit(number * LABEL_SHIFT) + key.cast("long")
 
     def with_rels(self, kind: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], props: list[str] | None = None, key: str | None = None) -> PropertyGraph:
-        """Edges from (label, column) to (label, column); ids come from ``key`` or, where rows are distinct, from the row's hash."""
-        ident = F.xxhash64(F.lit(kind), *([F.col(key)] if key else [F.col(c) for c in df.columns]))
+        """Edges from (label, column) to (label, column); ids come from ``key``, else from a row's place in its file, else from
+        the row and its number among equal ones, so equal parallel edges stay apart."""
+        if key:
+            ident = F.xxhash64(F.lit(kind), F.col(key))
+        elif placed(df):
+            ident = F.xxhash64(F.lit(kind), F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+        else:
+            own = [F.col(c) for c in df.columns]
+            ident = F.xxhash64(F.lit(kind), *own, F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(1))))
         ends = [self.node_id(label, F.col(c), df.schema[c].dataType) for label, c in (src, dst)]
         rows = df.where(F.col(src[1]).isNotNull() & F.col(dst[1]).isNotNull()).select(ident.alias("id"), ends[0].alias("src"), ends[1].alias("dst"), *[F.col(c) for c in (props or [])])
         out = replace(self, rels=dict(self.rels))

@@ -10,6 +10,8 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,7 +101,9 @@ class Emitter:
         props = {x[2] for x in walk(query) if len(x) == 3 and x[0] == "prop" and isinstance(x[2], str)}
         props |= {k for x in walk(query) if len(x) == 2 and x[0] == "map" and isinstance(x[1], dict) for k in x[1]}
         props |= {i[1] for x in walk(query) if len(x) == 3 and x[0] == "mapproj" for i in x[2] if i[0] == "own"}
-        self.props = None if self._whole(query) else props
+        # Maps in parameters may be patterns' properties.
+        mapped = {k for v in self.params.values() if isinstance(v, dict) for k in v}
+        self.props = None if self._whole(query) else props | mapped
 
     def _whole(self, query) -> bool:
         """Whether an entity is used as a whole, so that all properties are needed."""
@@ -162,7 +166,7 @@ class Emitter:
             elif isinstance(x, P.Projection):
                 frame = self.project(x, frame)
             elif isinstance(x, P.Unwind):
-                frame = Frame(frame.df.withColumn(x.var, F.explode(self.ex(x.expr, frame))), frame.vars | {x.var: Binding("value")})
+                frame = Frame(frame.df.withColumn(x.var, F.explode(self.listed(self.ex(x.expr, frame), frame))), frame.vars | {x.var: Binding("value")})
             elif isinstance(x, P.Call):
                 frame = self.call(x, frame)
             else:
@@ -171,6 +175,13 @@ class Emitter:
                 frame = apply_write(self, x, frame)
         return frame
 
+    def listed(self, x: Column, frame: Frame) -> Column:
+        """What UNWIND goes over: null has no rows, a value that is no list has one."""
+        t = self.dtype(frame, x)
+        if isinstance(t, T.NullType):
+            return F.lit(None).cast("array<string>")
+        return x if isinstance(t, T.ArrayType) else F.when(x.isNotNull(), F.array(x))
+
     def match(self, m: P.Match, frame: Frame) -> Frame:
         edges: list[tuple[str, list[str], bool]] = []
         for path in m.paths:
@@ -204,11 +215,14 @@ class Emitter:
             p.var = f"_{next(_fresh)}"
         return p.var
 
-    def with_props(self, frame: Frame, var: str, props: tuple | None) -> Frame:
+    def items(self, props: tuple | None) -> dict:
+        """A pattern's properties as expressions, written out or from a parameter."""
         if props is None:
-            return frame
-        items = props[1] if props[0] == "map" else {k: ("lit", v) for k, v in self.params[props[1]].items()}
-        for k, v in items.items():
+            return {}
+        return props[1] if props[0] == "map" else {k: ("lit", v) for k, v in self.params[props[1]].items()}
+
+    def with_props(self, frame: Frame, var: str, props: tuple | None) -> Frame:
+        for k, v in self.items(props).items():
             frame = Frame(frame.df.where(self.equal(self.ex(("prop", ("var", var), k), frame), self.ex(v, frame), frame)), frame.vars)
         return frame
 
@@ -262,7 +276,8 @@ class Emitter:
 
     def oriented(self, r: P.RelPattern, backwards: bool, props: bool) -> DataFrame:
         """Edges as (#from, #to, id, type, src, dst, properties); a self-loop comes once whatever the direction."""
-        e = self.g.edges(r.types, self.props if props else set())
+        known = self.props if props else set()
+        e = self.g.edges(r.types, known if known is None else known | set(self.items(r.props)))
         direction = {"out": "in", "in": "out", "both": "both"}[r.direction] if backwards else r.direction
         out, back = e.withColumn("#from", F.col("src")).withColumn("#to", F.col("dst")), e.withColumn("#from", F.col("dst")).withColumn("#to", F.col("src"))
         return out if direction == "out" else back if direction == "in" else out.unionByName(back.where("src <> dst"))
@@ -308,9 +323,7 @@ class Emitter:
         """Trails: no edge twice, nodes may repeat.  A bounded pattern unrolls into joins; an unbounded one goes on level by level."""
         lo, hi = r.length
         e = self.oriented(r, backwards, r.props is not None)
-        if r.props is not None:
-            for k, v in r.props[1].items():
-                e = e.where(c(f".{k}") == self.ex(v, frame))
+        e = self.held(e, r)
         one = F.struct(F.col("id"), c("#type").alias("type"), F.col("src").alias("start"), F.col("dst").alias("end"))
         e = e.select("#from", F.col("#to").alias("#next"), F.col("id").alias("#e"), one.alias("#r"))
         empty = {"#ids": F.array().cast("array<bigint>"), "#rels": F.array().cast("array<struct<id:bigint,type:string,start:bigint,end:bigint>>"), "#nodes": F.array().cast("array<bigint>")}
@@ -341,6 +354,12 @@ class Emitter:
         edges.append((r.var, r.types, True))
         return self.arrive(Frame(df, frame.vars | {r.var: Binding("rels", parts=("reversed",) if backwards else ())}), b)
 
+    def held(self, e: DataFrame, r: P.RelPattern) -> DataFrame:
+        """Edges with the pattern's properties, which are constants where the pattern is more than one hop."""
+        for k, v in self.items(r.props).items():
+            e = e.where(c(f".{k}") == F.lit(self.value(v))) if f".{k}" in e.columns else e.where("false")
+        return e
+
     def shortest(self, p: P.PathPattern, frame: Frame) -> Frame:
         """Level-synchronous search from all starting nodes at once; of equal paths one is the least by edge ids."""
         a, r, b = p.nodes[0], p.rels[0], p.nodes[1]
@@ -348,7 +367,7 @@ class Emitter:
         lo, hi = r.length or (1, 1)
         pairs = cut(frame.df.select(c(f"{a.var}#id").alias("s"), c(f"{b.var}#id").alias("t")).distinct())
         one = F.struct(F.col("id"), c("#type").alias("type"), F.col("src").alias("start"), F.col("dst").alias("end"))
-        e = self.oriented(r, False, False).select("#from", F.col("#to").alias("next"), one.alias("e"))
+        e = self.held(self.oriented(r, False, r.props is not None), r).select("#from", F.col("#to").alias("next"), one.alias("e"))
         level = pairs.select("s", F.col("s").alias("at")).distinct().withColumn("rels", F.array().cast("array<struct<id:bigint,type:string,start:bigint,end:bigint>>")).withColumn("nodes", F.array("s"))
         seen = level.select("s", "at")
         found = level.join(pairs, (level["s"] == pairs["s"]) & (F.col("at") == F.col("t"))).select(level["s"].alias("s"), "t", "rels", "nodes") if lo == 0 else None
@@ -784,7 +803,12 @@ class Emitter:
                 return F.lit(None).cast("boolean")
             return {"STARTS WITH": F.startswith, "ENDS WITH": F.endswith, "CONTAINS": F.contains}[op](a, b)
         if op == "=~":
-            return F.rlike(a, F.concat(F.lit("^(?:"), b, F.lit(")$")))
+            if e[3][0] in ("lit", "param"):  # a pattern that is none matches nothing
+                try:
+                    self.spark._jvm.java.util.regex.Pattern.compile(str(self.value(e[3])))
+                except (Py4JJavaError, IllegalArgumentException):
+                    return F.lit(None).cast("boolean")
+            return F.rlike(a, F.concat(F.lit("\\A(?:"), b, F.lit(")\\z")))
         if op == "+" and self.local:
             known = [self.local_types.get(x[1]) if x[0] == "var" and x[1] in self.local else T.StringType() if x[0] == "lit" and isinstance(x[1], str) else None for x in e[2:]]
             if any(isinstance(t, T.StringType) for t in known):
@@ -920,13 +944,23 @@ class Emitter:
         if name == "collect":
             return F.collect_set(x) if distinct else F.collect_list(x)
         if name in ("stdev", "stdevp"):
+            if distinct:
+                own = F.collect_set(x.cast("double"))
+                mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y) / F.size(v)
+                square = F.aggregate(own, F.lit(0.0), lambda s, y: s + (y - mean(own)) * (y - mean(own)))
+                return F.when(F.size(own) > 1, F.sqrt(square / (F.size(own) - int(name == "stdev")))).otherwise(F.lit(0.0))
             return (F.stddev_samp if name == "stdev" else F.stddev_pop)(x)
         p = self.value(args[1])
         if isinstance(p, bool) or not isinstance(p, (int, float)) or not 0 <= p <= 1:
             raise CypherError("a percentile must be between 0 and 1")
+        if name == "percentilecont" and distinct:
+            own = F.array_sort(F.collect_set(x.cast("double")))
+            at = F.lit(float(p)) * (F.size(own) - 1)
+            low, high = (F.try_element_at(own, F.greatest(y, F.lit(0)).cast("int") + 1) for y in (F.floor(at), F.ceil(at)))
+            return low + (high - low) * (at - F.floor(at))
         if name == "percentilecont":
             return F.percentile(x.cast("double"), F.lit(float(p)))
-        ranked = F.array_sort(F.collect_list(x))
+        ranked = F.array_sort((F.collect_set if distinct else F.collect_list)(x))
         n = F.size(ranked)
         return F.try_element_at(ranked, F.least(F.greatest(F.ceil(F.lit(float(p)) * n), F.lit(1)), F.greatest(n, F.lit(1))).cast("int")).cast(t)
 

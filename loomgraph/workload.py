@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.algorithms import iterative, sequential
+from loomgraph import workload_graph, workload_language
+from loomgraph.algorithms import iterative
 from loomgraph.graph import PropertyGraph, tables_graph
 
 #: name: (query text, SQL)
@@ -32,14 +33,6 @@ CYPHER: dict[str, tuple[str, str]] = {
         "MATCH (n:Nation {n_nationkey: 3})-[r]-(x) RETURN type(r) AS t, count(*) AS n",
         "SELECT 'IN_REGION' AS t, count(*) AS n FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'CUST_NATION', count(*) FROM customer WHERE c_nationkey = 3 HAVING count(*) > 0 UNION ALL SELECT 'SUPP_NATION', count(*) FROM supplier WHERE s_nationkey = 3 HAVING count(*) > 0",
     ),
-    "expand_into": (
-        "MATCH (p:Part)-[:SUPPLIED_BY]->(s:Supplier) MATCH (s)-[:SUPPLIES]->(p) WHERE p.p_size = 7 RETURN count(*) AS n",
-        "SELECT count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7",
-    ),
-    "relationship_uniqueness": (
-        "MATCH (a:Order)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(b:Order) WHERE p.p_partkey < 5 RETURN count(*) AS n",
-        "SELECT coalesce(sum(k * (k - 1)), 0)::BIGINT AS n FROM (SELECT count(*) AS k FROM lineitem WHERE l_partkey < 5 GROUP BY l_partkey)",
-    ),
     "disconnected_join": (
         "MATCH (c:Customer), (s:Supplier) WHERE c.c_nationkey = s.s_nationkey AND s.s_acctbal > 0 RETURN count(*) AS n",
         "SELECT count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > 0",
@@ -63,15 +56,7 @@ CYPHER: dict[str, tuple[str, str]] = {
         "MATCH (r:Region) RETURN r.r_name AS region, size([ (r)<-[:IN_REGION]-(n) WHERE n.n_nationkey > 10 | n.n_name ]) AS k",
         "SELECT r_name AS region, count(n_nationkey) AS k FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey > 10 GROUP BY 1",
     ),
-    "var_length": (
-        "MATCH (c:Customer)-[:CUST_NATION|IN_REGION*1..2]->(x) WHERE c.c_custkey < 20 RETURN c.c_custkey AS k, count(x) AS n",
-        "SELECT c_custkey AS k, 2::BIGINT AS n FROM customer WHERE c_custkey < 20",
-    ),
     "var_length_zero": ("MATCH (n:Nation)-[:IN_REGION*0..1]->(x) RETURN labels(x)[0] AS l, count(*) AS n", "SELECT 'Nation' AS l, count(*) AS n FROM nation UNION ALL SELECT 'Region', count(*) FROM nation"),
-    "named_path": (
-        "MATCH p = (c:Customer)-[:CUST_NATION]->(:Nation)-[:IN_REGION]->(r:Region) WHERE c.c_custkey < 10 RETURN length(p) AS l, size(nodes(p)) AS s, r.r_name AS r, count(*) AS n",
-        "SELECT 2::BIGINT AS l, 3::BIGINT AS s, r_name AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey < 10 GROUP BY r_name",
-    ),
     "shortest_path": (
         "MATCH (a:Customer {c_custkey: 1}), (b:Nation) MATCH p = shortestPath((a)-[:CUST_NATION|IN_REGION*..4]-(b)) RETURN b.n_nationkey AS k, length(p) AS l",
         "SELECT n.n_nationkey AS k, CASE WHEN n.n_nationkey = c_nationkey THEN 1 ELSE 3 END::BIGINT AS l FROM customer JOIN nation m ON m.n_nationkey = c_nationkey JOIN nation n ON n.n_regionkey = m.n_regionkey WHERE c_custkey = 1",
@@ -135,28 +120,23 @@ CYPHER: dict[str, tuple[str, str]] = {
     ),
     "degree_top": ("MATCH (c:Customer)-[:PLACED]->() RETURN c.c_custkey AS k, count(*) AS n ORDER BY n DESC, k LIMIT 10", "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, k LIMIT 10"),
     "call_labels": ("CALL db.labels() YIELD label RETURN label", "SELECT * FROM (VALUES ('Customer'), ('Nation'), ('Order'), ('Part'), ('Region'), ('Supplier')) t(label)"),
-    "common_suppliers": (
-        "MATCH (a:Supplier)-[:SUPPLIES]->(p:Part)<-[:SUPPLIES]-(b:Supplier) WHERE a.s_suppkey < b.s_suppkey AND p.p_size < 5 RETURN a.s_suppkey AS a, b.s_suppkey AS b, count(*) AS n",
-        "WITH d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 5) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM d x JOIN d y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2",
-    ),
-    # The queries of the same names without _all, over whole tables.
-    "expand_into_all": (
+    "expand_into": (
         "MATCH (p:Part)-[:SUPPLIED_BY]->(s:Supplier) MATCH (s)-[:SUPPLIES]->(p) RETURN count(*) AS n",
         "SELECT count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey",
     ),
-    "relationship_uniqueness_all": (
+    "relationship_uniqueness": (
         "MATCH (a:Order)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(b:Order) RETURN count(*) AS n",
         "SELECT coalesce(sum(k * (k - 1)), 0)::BIGINT AS n FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_partkey)",
     ),
-    "var_length_all": (
+    "var_length": (
         "MATCH (c:Customer)-[:CUST_NATION|IN_REGION*1..2]->(x) RETURN c.c_custkey AS k, count(x) AS n",
         "SELECT c_custkey AS k, 2::BIGINT AS n FROM customer",
     ),
-    "named_path_all": (
+    "named_path": (
         "MATCH p = (c:Customer)-[:CUST_NATION]->(:Nation)-[:IN_REGION]->(r:Region) RETURN length(p) AS l, size(nodes(p)) AS s, r.r_name AS r, count(*) AS n",
         "SELECT 2::BIGINT AS l, 3::BIGINT AS s, r_name AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     ),
-    "common_suppliers_all": (
+    "common_suppliers": (
         "MATCH (a:Supplier)-[:SUPPLIES]->(p:Part)<-[:SUPPLIES]-(b:Supplier) WHERE a.s_suppkey < b.s_suppkey RETURN a.s_suppkey AS a, b.s_suppkey AS b, count(*) AS n",
         "WITH d AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM d x JOIN d y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2",
     ),
@@ -192,21 +172,6 @@ def wcc(spark, sf_dir):
     return iterative.weakly_connected_components(_nation_edges(spark, sf_dir))
 
 
-def bfs_levels(spark, sf_dir):
-    s = spark.createDataFrame([(0,)], "id bigint")
-    return iterative.bfs(_user_edges(spark, sf_dir), s, 3).groupBy("depth").count().withColumnRenamed("count", "n")
-
-
-def bfs_levels_all(spark, sf_dir):
-    s = spark.createDataFrame([(0,)], "id bigint")
-    return iterative.bfs(_user_edges(spark, sf_dir), s).groupBy("depth").count().withColumnRenamed("count", "n")
-
-
-def sssp(spark, sf_dir):
-    s = spark.createDataFrame([(0,)], "id bigint")
-    return iterative.dijkstra(_user_edges(spark, sf_dir), s).select("id", "distance")
-
-
 def triangle_total(spark, sf_dir):
     return iterative.triangles(_user_edges(spark, sf_dir)).agg((F.coalesce(F.sum("triangles"), F.lit(0)) / 3).cast("long").alias("n"))
 
@@ -219,22 +184,6 @@ def closure_size(spark, sf_dir):
     return iterative.transitive_closure(_nation_edges(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def mst_total(spark, sf_dir):
-    return iterative.minimum_spanning_forest(_user_edges(spark, sf_dir)).agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
-
-
-def pagerank(spark, sf_dir):
-    return iterative.pagerank(_user_edges(spark, sf_dir), max_iter=20).select("id", F.round("rank", 8).alias("rank"))
-
-
-def k_core(spark, sf_dir):
-    return iterative.k_core(_user_edges(spark, sf_dir))
-
-
-def scc(spark, sf_dir):
-    return iterative.strongly_connected_components(_user_edges(spark, sf_dir))
-
-
 def fluent_query(spark, sf_dir):
     g = tables_graph(spark, sf_dir)
     return g.match().vertex("Nation", ranges={"n_nationkey": (0, 9)}).into("SUPP_NATION").vertex("Supplier").collect({"s_suppkey"}).select("s_suppkey")
@@ -267,16 +216,9 @@ def merge_nodes(spark, sf_dir):
 _UNDIRECTED = "u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e)"
 ALGORITHMS = {
     "wcc": (wcc, "WITH c AS (SELECT c_custkey + 1000000 AS src, c_nationkey::BIGINT AS dst FROM customer) SELECT src AS id, dst AS component FROM c UNION SELECT dst, dst FROM c"),
-    "bfs_levels": (bfs_levels, f"WITH RECURSIVE {_USER_SQL}, r(id, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.id WHERE depth < 3), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1) SELECT depth, count(*) AS n FROM m GROUP BY 1"),
-    "bfs_levels_all": (bfs_levels_all, None),
-    "sssp": (sssp, None),
     "triangle_total": (triangle_total, f"WITH {_USER_SQL}, {_UNDIRECTED} SELECT count(*) AS n FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b"),
     "degree_table": (degree_table, f"WITH {_USER_SQL} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1"),
     "closure_size": (closure_size, "SELECT (SELECT 2 * count(*) FROM customer) + (SELECT count(DISTINCT c_nationkey) FROM customer) AS n"),
-    "mst_total": (mst_total, None),
-    "pagerank": (pagerank, None),
-    "k_core": (k_core, None),
-    "scc": (scc, None),
     "fluent_query": (fluent_query, "SELECT s_suppkey FROM supplier WHERE s_nationkey BETWEEN 0 AND 9"),
     "create_and_match": (create_and_match, "SELECT n_nationkey AS k, n_name AS name, n_nationkey AS w FROM nation WHERE n_nationkey < 5"),
     "set_and_match": (set_and_match, "SELECT r_regionkey AS k, CASE WHEN r_regionkey > 2 THEN lower(r_name) ELSE r_name END AS name, CASE WHEN r_regionkey > 2 THEN true END AS big FROM region"),
@@ -290,11 +232,8 @@ def _cypher(text: str):
 
 
 def queries() -> dict:
-    return {n: _cypher(q) for n, (q, _) in CYPHER.items()} | {n: f for n, (f, _) in ALGORITHMS.items()}
+    return {n: _cypher(q) for n, (q, _) in CYPHER.items()} | {n: f for n, (f, _) in ALGORITHMS.items()} | workload_graph.queries() | workload_language.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s for n, (_, s) in CYPHER.items()} | {n: s for n, (_, s) in ALGORITHMS.items() if s}
-
-
-__all__ = ["flagship", "oracle_sql", "queries", "sequential"]
+    return {n: s for n, (_, s) in CYPHER.items()} | {n: s for n, (_, s) in ALGORITHMS.items()} | workload_graph.oracle_sql() | workload_language.oracle_sql()
