@@ -9,17 +9,19 @@ it: the latest earlier turn of its conversation that does, else the least other
 at the lowest level is the one replied to.  Replies form threads, whose roots are found by pointer doubling; each
 message is returned without its quotes, with its thread, its depth and whom it replies to.
 
-Only one candidate is kept per hash and conversation, and one per hash, so a passage said by everyone joins once.
+Within a conversation a passage's sayers and quoters are read once, in turn order; of other conversations only the
+least message that says it is kept, so a passage said by everyone joins once.
 
 Defined results: a null text is empty; a null conversation or turn is a message that is never quoted; rows that repeat
 (conversation, turn) are messages of their own and are quoted as one, by the least text; a passage nobody says links
-nothing; extra columns are ignored; an empty table gives none.
+nothing; messages whose links run in a ring belong to the least message met on the way, at depth 0; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.iterate import cut
 
@@ -38,18 +40,17 @@ def _lines(text: Column) -> Column:
     )
 
 
-def _runs(lines: Column) -> Column:
-    """Neighbouring lines of one level as (level, text), in order."""
-    last = lambda acc: F.element_at(acc, F.lit(-1))
-    start = F.array().cast("array<struct<level:int,text:string>>")
-    return F.aggregate(
-        lines,
-        start,
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["level"], F.lit(-1)) == x["level"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(F.try_element_at(acc, F.lit(-1))["text"], F.lit("\n"), x["line"]).alias("text")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["line"].alias("text"))))),
-    )
+def _runs(rows: DataFrame, lines: str, out: str) -> DataFrame:
+    """Rows with a column of the neighbouring lines of one level as (level, text), in order.
+
+    Lines and the places where runs start are columns of their own, so that each line is worked out once.
+    """
+    level = lambda i: F.get(F.col(lines), i)["level"]
+    starts = F.filter(F.transform(F.col(lines), lambda x, i: F.when((i == 0) | (x["level"] != level(i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("starts__", starts)
+    size = lambda s, k: F.coalesce(F.get(F.col("starts__"), k + 1), F.size(lines)) - s
+    text = lambda s, k: F.array_join(F.transform(F.slice(F.col(lines), s + 1, size(s, k)), lambda x: x["line"]), "\n")
+    return rows.withColumn(out, F.transform(F.col("starts__"), lambda s, k: F.struct(level(s).alias("level"), text(s, k).alias("text")))).drop("starts__")
 
 
 def _sentences(text: Column) -> Column:
@@ -72,16 +73,16 @@ def _partial(base: DataFrame, passages: DataFrame) -> DataFrame:
     return rows.where(held == F.size("sentences")).select("conv__", "turn__", "hash")
 
 
-def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", keep: list[str] | None = None, max_rounds: int = 40) -> DataFrame:
+def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (conversation, turn and role by default) of each message, with its text without quotes (text), n_quotes,
     quote_level (deepest), reply_conv and reply_turn (null if it replies to none), thread_conv and thread_turn (the first
     message of its thread) and depth (replies from there)."""
     keep = keep or [conv_col, turn_col, "role"]
     base = messages.select(*[F.col(c) for c in keep], F.col(conv_col).alias("conv__"), F.col(turn_col).alias("turn__"), F.col(text_col).cast("string").alias("text__"))
     quoted = F.coalesce(F.col("text__").rlike(r"(?m)^[ \t]{0,3}>"), F.lit(False))
-    # Line runs are worked out for messages that quote; the others are one run.
-    runs = F.when(quoted, _runs(_lines(F.col("text__")))).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.coalesce("text__", F.lit("")).alias("text"))))
-    base = base.withColumn("runs__", runs)
+    # Lines are told apart in messages that quote; the others are one line.
+    base = base.withColumn("lines__", F.when(quoted, _lines(F.col("text__"))).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.coalesce("text__", F.lit("")).alias("line")))))
+    base = _runs(base, "lines__", "runs__").drop("lines__")
     base = base.withColumn("own__", F.array_join(F.transform(F.filter("runs__", lambda r: r["level"] == 0), lambda r: r["text"]), "\n")).withColumn("quotes__", F.filter("runs__", lambda r: r["level"] > 0)).drop("runs__", "text__")
     base = cut(base.withColumn("key__", F.xxhash64("conv__", "turn__", "own__", "quotes__")))
     # What each message says: its paragraphs and lines, and all of it.
@@ -91,33 +92,31 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     says = base.where("conv__ is not null and turn__ is not null").select("conv__", "turn__", F.explode(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(normal(p))))).alias("hash")).join(asked, "hash", "left_semi")
     says = cut(says.select("conv__", "turn__", "hash").union(_partial(base, passages)).distinct())
     anyone = says.groupBy("hash").agg(F.min(F.struct("conv__", "turn__")).alias("any"))
-    # One row per (hash, conversation, turn) that is quoted in that same conversation; the latest earlier one is taken.
-    here = passages.select("conv__", "turn__", "hash").distinct().alias("p").join(says.alias("s"), (F.col("p.hash") == F.col("s.hash")) & (F.col("p.conv__") == F.col("s.conv__")) & (F.col("s.turn__") < F.col("p.turn__")))
-    here = here.groupBy(F.col("p.conv__").alias("conv__"), F.col("p.turn__").alias("turn__"), F.col("p.hash").alias("hash")).agg(F.max("s.turn__").alias("earlier"))
+    # Where a turn quotes what its conversation has said, the latest earlier turn that said it: one pass in turn order.
+    asks = passages.select("conv__", "turn__", "hash", F.lit(0).alias("says")).where("conv__ is not null and turn__ is not null").distinct()
+    order = Window.partitionBy("conv__", "hash").orderBy("turn__", "says").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = asks.union(says.select("conv__", "turn__", "hash", F.lit(1))).withColumn("earlier", F.last(F.when(F.col("says") == 1, F.col("turn__")), ignorenulls=True).over(order)).where("says = 0").drop("says")
     found = passages.join(here, ["conv__", "turn__", "hash"], "left").join(anyone, "hash", "left")
     other = F.when(~((F.col("any.conv__").eqNullSafe(F.col("conv__"))) & (F.col("any.turn__") >= F.col("turn__"))), F.col("any"))
     found = found.select("key__", "level", F.when(F.col("earlier").isNotNull(), F.struct("conv__", F.col("earlier").alias("turn__"))).otherwise(other).alias("to")).where("to is not null")
-    reply = found.groupBy("key__").agg(F.min(F.struct("level", "to")).alias("m")).select("key__", F.col("m.to").alias("to"))
+    reply = found.groupBy("key__").agg(F.min(F.struct("level", "to")).alias("m")).select("key__", F.col("m.to").alias("to__"))
     linked = base.join(reply, "key__", "left").withColumn("deep__", F.coalesce(F.array_max(F.transform("quotes__", lambda q: q["level"])), F.lit(0)))
     linked = cut(linked)
-    up = linked.where("to is not null and conv__ is not null and turn__ is not null").groupBy("conv__", "turn__").agg(F.min("to").alias("to"))
-    roots = _roots(up.select(F.struct("conv__", "turn__").alias("node"), "to"), max_rounds)
-    out = linked.withColumn("node__", F.struct("conv__", "turn__")).join(roots, F.col("node__") == F.col("node"), "left")
+    up = linked.where("to__ is not null and conv__ is not null and turn__ is not null").groupBy("conv__", "turn__").agg(F.min("to__").alias("to"))
+    roots = _roots(up.select(F.struct("conv__", "turn__").alias("node"), "to")).toDF("at__", "root__", "depth__")
+    out = linked.withColumn("node__", F.struct("conv__", "turn__")).join(roots, F.col("node__") == F.col("at__"), "left")
     return out.select(
         *keep, F.trim(F.regexp_replace(F.regexp_replace("own__", r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).alias("text"), F.size("quotes__").alias("n_quotes"), F.col("deep__").alias("quote_level"),
-        F.col("to.conv__").alias("reply_conv"), F.col("to.turn__").alias("reply_turn"), F.coalesce(F.col("root.conv__"), F.col("conv__")).alias("thread_conv"), F.coalesce(F.col("root.turn__"), F.col("turn__")).alias("thread_turn"), F.coalesce(F.col("depth"), F.lit(0)).alias("depth"),
+        F.col("to__.conv__").alias("reply_conv"), F.col("to__.turn__").alias("reply_turn"), F.coalesce(F.col("root__.conv__"), F.col("conv__")).alias("thread_conv"), F.coalesce(F.col("root__.turn__"), F.col("turn__")).alias("thread_turn"), F.coalesce(F.col("depth__"), F.lit(0)).alias("depth"),
     )
 
 
-def _roots(up: DataFrame, max_rounds: int) -> DataFrame:
-    """(node, root, depth) by pointer doubling; a ring, which quotes across conversations can make, ends after max_rounds."""
-    now = cut(up.select("node", F.col("to").alias("root"), F.lit(1).cast("long").alias("depth")))
-    for _ in range(max_rounds):
-        step = now.select(F.col("node").alias("mid"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        grown = cut(now.join(step, F.col("root") == F.col("mid"), "left").select("node", F.coalesce("next", "root").alias("root"), F.least(F.col("depth") + F.coalesce("more", F.lit(0)), F.lit(1 << 40)).alias("depth"), F.col("next").isNotNull().alias("moved")))
-        if not grown.where("moved").limit(1).count():
-            return grown.drop("moved")
-        now = grown.drop("moved")
-        if _ >= 33:
+def _roots(up: DataFrame) -> DataFrame:
+    """(node, root, depth) by pointer doubling; where links run in a ring, the root is the least node met and the depth 0."""
+    now = cut(up.select("node", F.col("to").alias("root"), F.lit(1).cast("long").alias("depth"), F.least("node", "to").alias("least"), F.lit(True).alias("moved")))
+    for _ in range(now.count().bit_length() + 1):  # a chain has no more links than there are nodes
+        step = now.select(F.col("node").alias("mid"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("least").alias("low"))
+        now = cut(now.join(step, F.col("root") == F.col("mid"), "left").select("node", F.coalesce("next", "root").alias("root"), F.least(F.col("depth") + F.coalesce("more", F.lit(0)), F.lit(1 << 40)).alias("depth"), F.least("least", "low").alias("least"), F.col("next").isNotNull().alias("moved")))
+        if not now.where("moved").limit(1).count():
             break
-    return now
+    return now.select("node", F.when(F.col("moved"), F.col("least")).otherwise(F.col("root")).alias("root"), F.when(F.col("moved"), 0).otherwise(F.col("depth")).alias("depth"))

@@ -1,5 +1,7 @@
 """Quotations of parts of a message."""
 
+from pyspark.sql import functions as F
+
 from loomgraph.llm import chat
 
 
@@ -30,3 +32,19 @@ def test_partial_quotes(spark):
 def test_the_latest_earlier_message_that_holds_all_is_chosen(spark):
     rows = [(1, 0, "u", "Alpha beta. Gamma delta. Rest"), (1, 1, "u", "Gamma delta. Alpha beta. Rest"), (1, 2, "u", "x. Alpha beta. Gamma delta. y"), (1, 3, "u", "Alpha beta. Other"), (1, 4, "u", "> Alpha beta. Gamma delta.\nno"), (1, 5, "u", "Alpha beta. Gamma delta. Later")]
     assert replies(spark, rows)[1, 4][0] == (1, 2)
+
+
+def test_rings_end_at_their_least_message(spark):
+    rows = [(1, 0, "u", "alpha one\n> beta two"), (2, 0, "u", "beta two\n> gamma three"), (3, 0, "u", "gamma three\n> alpha one"), (4, 0, "u", "delta four\n> gamma three"), (5, 0, "u", "alone")]
+    got = replies(spark, rows)
+    assert {k: v[1:] for k, v in got.items()} == {(1, 0): ((1, 0), 0), (2, 0): ((1, 0), 0), (3, 0): ((1, 0), 0), (4, 0): ((1, 0), 0), (5, 0): ((5, 0), 0)}
+    assert got[4, 0][0] == (3, 0)
+
+
+def test_long_messages_and_long_conversations(spark):
+    said = "\n".join(f"line number {i} of many" for i in range(3000))
+    rows = [(1, 0, "u", said)] + [(1, t, "u", "> line number 7 of many\nsame again") for t in range(1, 400)] + [(2, 0, "u", "\n".join(f"{'>' * (i % 3)} word{i}" for i in range(4000)))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("node", "root", "hash", "level", "starts__")})
+    got = {(r["conv_id"], r["turn"]): r for r in chat.link(df, keep=["conv_id", "turn", "node", "root"]).collect()}
+    assert len(got) == len(rows) and all(got[1, t]["reply_turn"] == 0 and got[1, t]["node"] == 1 for t in range(1, 400))
+    assert got[2, 0]["n_quotes"] == 2666 and got[2, 0]["quote_level"] == 2
