@@ -63,7 +63,7 @@ def write_jsonl(graph: PropertyGraph, path: str) -> None:
         rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias("value"))
         out = rows if out is None else out.union(rows)
     for kind, r in graph.rels.items():
-        rows = r.df.select(F.to_json(F.struct(F.lit("edge").alias("type"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit(kind).alias("label"))).alias("value"))
+        rows = r.df.select(F.to_json(F.struct(F.lit("edge").alias("type"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), *([F.col("weight").cast("double").alias("weight")] if "weight" in r.df.columns else []), F.lit(kind).alias("label"))).alias("value"))
         out = rows if out is None else out.union(rows)
     out.write.mode("overwrite").text(path)
 

@@ -33,6 +33,13 @@ def test_text_formats(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "d")).count() == 4
 
 
+def test_jsonl_keeps_edge_weights(spark, tmp_path):
+    n = spark.createDataFrame([(1,), (2,)], "k int")
+    g = PropertyGraph(spark).with_nodes("P", n, "k").with_rels("R", spark.createDataFrame([(1, 2, 2.5), (2, 1, None)], "a int, b int, weight double"), ("P", "a"), ("P", "b"), ["weight"])
+    sources.write_jsonl(g, str(tmp_path / "j"))
+    assert sorted(r["weight"] for r in sources.read_jsonl(spark, str(tmp_path / "j"))["edges"].collect()) == [1.0, 2.5]
+
+
 def test_bulk_import(spark, tmp_path):
     (tmp_path / "n.csv").write_text("id,name\n1,A\n2,B\n")
     (tmp_path / "e.csv").write_text("src,dst,type,since\n1,2,KNOWS,2000\n2,1,LIKES,2001\n")
