@@ -24,6 +24,8 @@ from loomgraph.plans import parser as P
 AGGREGATES = frozenset("count sum avg min max collect stdev stdevp percentilecont percentiledisc".split())
 #: Hops of an unbounded pattern, and rows of one of its levels.
 MAX_HOPS, MAX_ROWS = 64, 100_000_000
+#: Functions that give nodes or relationships.
+ENTITY_CALLS = frozenset("startnode endnode nodes relationships rels".split())
 _fresh = itertools.count()
 
 
@@ -93,6 +95,16 @@ def has_aggregate(e) -> bool:
     return any(x[0] == "call" and isinstance(x[1], str) and x[1].lower() in AGGREGATES for x in walk(e) if len(x) == 4)
 
 
+def entity_call(e) -> bool:
+    return isinstance(e, tuple) and len(e) == 4 and e[0] == "call" and e[1].lower() in ENTITY_CALLS
+
+
+def entity_kind(t: T.DataType) -> str | None:
+    """Whether values of the type are nodes or relationships."""
+    names = t.names if isinstance(t, T.StructType) else []
+    return "node" if names[:2] == ["id", "labels"] else "rel" if names[:4] == ["id", "type", "start", "end"] else None
+
+
 class Emitter:
     def __init__(self, graph: PropertyGraph, params: dict, query: P.Query):
         self.g, self.params, self.spark = graph, params, graph.spark
@@ -118,6 +130,10 @@ class Emitter:
                 return True
             if isinstance(x, tuple) and x and x[0] in ("idx",):
                 return True
+            if isinstance(x, tuple) and x and x[0] in ("listcomp", "quant", "reduce"):
+                entities.add(x[{"listcomp": 1, "quant": 2, "reduce": 3}[x[0]]])
+            if isinstance(x, P.Unwind):
+                entities.add(x.var)
             if hasattr(x, "__dataclass_fields__"):
                 stack += [getattr(x, f) for f in x.__dataclass_fields__]
             elif isinstance(x, dict):
@@ -133,10 +149,16 @@ class Emitter:
                     return any(bare(y) for y in x[2:] if isinstance(y, tuple))
                 if x[0] == "mapproj":
                     return any(i[0] == "all" for i in x[2]) or any(bare(i[2]) for i in x[2] if i[0] == "key")
-                if x[0] == "call" and len(x) == 4 and x[1].lower() in ("id", "elementid", "labels", "type", "count", "startnode", "endnode", "length", "nodes", "relationships"):
+                if entity_call(x):
+                    return True
+                if x[0] == "prop" and entity_call(x[1]):
                     return False
-                if x[0] == "bin" and x[1] in ("=", "<>") and all(y[0] == "var" for y in x[2:]):
+                if x[0] == "call" and len(x) == 4 and x[1].lower() in ("id", "elementid", "labels", "type", "count", "length", "size") and all(y[0] == "var" or entity_call(y) for y in x[3]):
                     return False
+                if x[0] == "bin" and x[1] in ("=", "<>", "IN") and all(y[0] == "var" or entity_call(y) for y in x[2:]):
+                    return False
+                if x[0] in ("listcomp", "quant", "reduce") and (entity_call(src := x[{"listcomp": 2, "quant": 3, "reduce": 4}[x[0]]]) or src[0] == "var"):
+                    return x[0] == "listcomp" and x[4] is None or any(bare(y) for y in x[1:] if y is not src)
                 if x[0] == "isnull":
                     return x[1][0] != "var" and bare(x[1])
                 return any(bare(y) for y in x)
@@ -144,6 +166,8 @@ class Emitter:
                 return any(bare(y) for y in x)
             if isinstance(x, dict):
                 return any(bare(y) for y in x.values())
+            if isinstance(x, P.Unwind) and entity_call(x.expr):
+                return False
             if isinstance(x, P.Projection):
                 # Passing an entity on in WITH keeps its columns; only a RETURN of it needs them all.
                 items = [e for e, _ in x.items if x.final or e[0] != "var"]
@@ -166,7 +190,8 @@ class Emitter:
             elif isinstance(x, P.Projection):
                 frame = self.project(x, frame)
             elif isinstance(x, P.Unwind):
-                frame = Frame(frame.df.withColumn(x.var, F.explode(self.listed(self.ex(x.expr, frame), frame))), frame.vars | {x.var: Binding("value")})
+                frame, items = self.lifted(frame, x.expr, unwound=True)
+                frame = Frame(frame.df.withColumn(x.var, F.explode(self.listed(items, frame))), frame.vars | {x.var: Binding("value")})
             elif isinstance(x, P.Call):
                 frame = self.call(x, frame)
             else:
@@ -215,6 +240,18 @@ class Emitter:
             p.var = f"_{next(_fresh)}"
         return p.var
 
+    def promoted(self, frame: Frame, var: str) -> Frame:
+        """A variable whose value is a node or relationship becomes one that patterns may use."""
+        if var not in frame.vars or frame.vars[var].kind != "value":
+            return frame
+        t = frame.df.schema[var].dataType
+        kind = entity_kind(t)
+        if kind is None:
+            return frame
+        fixed = {"id": "id", "labels": "labels"} if kind == "node" else {"id": "id", "type": "type", "src": "start", "dst": "end"}
+        cols = {f"{var}#{k}": c(var)[n] for k, n in fixed.items()} | {f"{var}.{n}": c(var)[n] for n in t.names[len(fixed) :]}
+        return Frame(frame.df.withColumns(cols), frame.vars | {var: Binding(kind)})
+
     def items(self, props: tuple | None) -> dict:
         """A pattern's properties as expressions, written out or from a parameter."""
         if props is None:
@@ -245,6 +282,8 @@ class Emitter:
             self.anonymous(n)
         for r in p.rels:
             self.anonymous(r)
+        for x in (*p.nodes, *p.rels):
+            frame = self.promoted(frame, x.var)
         if p.shortest:
             return self.shortest(p, frame)
         at = next((i for i, n in enumerate(p.nodes) if n.var in frame.vars), None)
@@ -429,8 +468,45 @@ class Emitter:
         rows = inside.df.select(*map(c, keys)) if keys else inside.df.limit(1).select(F.lit(1).alias("#hit"))
         return Frame(self.joined(frame, rows, keys, how), frame.vars)
 
-    def lifted(self, frame: Frame, e: tuple) -> tuple[Frame, Column]:
-        """The expression over a frame to which the results of its subqueries are joined."""
+    def entities(self, frame: Frame, ids: Column, kind: str, many: bool) -> tuple[Frame, str]:
+        """The frame with a column of the entities that ids name, in their order; distinct lists are looked up once."""
+        name = f"#sub{next(_fresh)}"
+        rows = self.g.scan([], self.props) if kind == "node" else self.g.edges([], self.props)
+        fixed = {"id": "id", "#labels": "labels"} if kind == "node" else {"id": "id", "#type": "type", "src": "start", "dst": "end"}
+        whole = F.struct(*[c(k).alias(n) for k, n in fixed.items()], *[c(x).alias(x[1:]) for x in rows.columns if x.startswith(".")])
+        known = rows.select(F.col("id").alias("#eid"), whole.alias("#entity"))
+        df = frame.df.withColumn("#ids", ids)
+        if not many:
+            return Frame(df.join(known, c("#ids") == c("#eid"), "left").withColumnRenamed("#entity", name).drop("#ids", "#eid"), frame.vars), name
+        each = df.select("#ids").where(F.size("#ids") > 0).distinct().select("#ids", F.posexplode("#ids").alias("#pos", "#eid")).join(known, "#eid")
+        lists = each.groupBy(c("#ids").alias("#key")).agg(F.sort_array(F.collect_list(F.struct("#pos", "#entity")))["#entity"].alias(name))
+        none = F.when(c("#ids").isNotNull(), F.array().cast(lists.schema[name].dataType))
+        df = df.join(lists, c("#ids") == c("#key"), "left").withColumn(name, F.coalesce(c(name), none))
+        return Frame(df.drop("#ids", "#key"), frame.vars), name
+
+    def entities_of(self, frame: Frame, e: tuple) -> tuple[Frame, str] | None:
+        """What a call of nodes, relationships, startNode or endNode gives, if e is one over this frame."""
+        if not entity_call(e) or len(e[3]) != 1 or self.local:
+            return None
+        what, arg = e[1].lower(), e[3][0]
+        kind = frame.vars[arg[1]].kind if arg[0] == "var" and arg[1] in frame.vars else None
+        if what in ("startnode", "endnode"):
+            return self.entities(frame, self.variable_part(arg, "src" if what == "startnode" else "dst", frame), "node", False)
+        if kind != "path":
+            return None
+        if what == "nodes":
+            return self.entities(frame, c(arg[1])["nodes"], "node", True)
+        return self.entities(frame, F.transform(c(arg[1])["rels"], lambda r: r["id"]), "rel", True)
+
+    def lifted(self, frame: Frame, e: tuple, unwound: bool = False) -> tuple[Frame, Column]:
+        """The expression over a frame to which the results of its subqueries, and entities it names, are joined."""
+
+        def source(x):
+            nonlocal frame
+            if x[0] == "var" and x[1] in frame.vars and frame.vars[x[1]].kind == "rels":
+                frame, name = self.entities(frame, F.transform(self.variable(x[1], frame), lambda r: r["id"]), "rel", True)
+                return ("var", name)
+            return lift(x)
 
         def lift(x):
             nonlocal frame
@@ -460,11 +536,18 @@ class Emitter:
                     n = F.coalesce(c(name), F.lit(0).cast("long"))
                     frame = Frame(frame.df.withColumn(name, n if x[0] == "count" else n > 0), frame.vars)
                 return ("var", name)
-            if isinstance(x, tuple) and x and x[0] in ("listcomp", "quant", "reduce"):
-                return x
+            if isinstance(x, tuple) and x and x[0] in ("listcomp", "quant", "reduce"):  # what follows the list sees its elements
+                at = {"listcomp": 2, "quant": 3, "reduce": 4}[x[0]]
+                first = (lift(x[2]),) if x[0] == "reduce" else x[2:at][:1]
+                return (*x[:2], *first, *x[2 + len(first) : at], source(x[at]), *x[at + 1 :])
+            if isinstance(x, tuple) and len(x) == 4 and x[0] == "call" and x[1].lower() in ("size", "length", "id") and all(map(entity_call, x[3])):
+                return x  # identities will do
+            if (found := self.entities_of(frame, x)) is not None:
+                frame = found[0]
+                return ("var", found[1])
             return tuple(lift(y) for y in x) if isinstance(x, tuple) else [lift(y) for y in x] if isinstance(x, list) else {k: lift(v) for k, v in x.items()} if isinstance(x, dict) else x
 
-        e = lift(e)
+        e = source(e) if e[0] == "var" and unwound else lift(e)
         return frame, self.ex(e, frame)
 
     def shortest_in(self, p: P.PathPattern, frame: Frame) -> Frame:
@@ -726,7 +809,9 @@ class Emitter:
         if b.kind == "rel":
             props = [x for x in frame.cols(v) if "." in x]
             return F.when(c(f"{rename}{v}#id").isNotNull(), F.struct(*[c(f"{rename}{v}#{k}").alias(a) for k, a in (("id", "id"), ("type", "type"), ("src", "start"), ("dst", "end"))], *[c(rename + x).alias(x.split(".", 1)[1]) for x in props]))
-        return c(f"{rename}{v}#rels" if b.kind == "rels" else rename + v)
+        if b.kind == "rels":  # in the pattern's order, whichever end the search began at
+            return F.reverse(c(f"{rename}{v}#rels")) if b.parts == ("reversed",) else c(f"{rename}{v}#rels")
+        return c(rename + v)
 
     def variable_part(self, e: tuple, part: str, frame: Frame) -> Column:
         if e[0] == "var" and e[1] not in self.local and e[1] in frame.vars and frame.vars[e[1]].kind in ("node", "rel"):
@@ -740,7 +825,9 @@ class Emitter:
             name = f"{base[1]}.{key}"
             return c(rename + name) if name in frame.df.columns else F.lit(None)
         x = self.ex(base, frame, rename)
-        t = self.dtype(frame, x)
+        t = self.local_types.get(base[1], T.NullType()) if base[0] == "var" and base[1] in self.local else self.dtype(frame, x)
+        if entity_call(base) and not isinstance(t, T.StructType):
+            raise CypherError(f"a property of {base[1]}() is not supported in this place")
         if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) and key in S.ACCESSORS:
             return S.ACCESSORS[key](x).cast("long")
         if t.simpleString() == S.DURATION and key in S.DURATION_ACCESSORS:
@@ -753,6 +840,8 @@ class Emitter:
         ta, tb = self.dtype(frame, a), self.dtype(frame, b)
         if isinstance(ta, T.NullType) and not self.local or isinstance(tb, T.NullType) and not self.local:
             return F.lit(None).cast("boolean")
+        if entity_kind(ta) and entity_kind(ta) == entity_kind(tb):
+            return a["id"] == b["id"]
         if isinstance(ta, T.ArrayType) and isinstance(tb, T.ArrayType):
             parts = F.aggregate(F.zip_with(a, b, lambda x, y: x == y), F.lit(True), lambda s, x: s & x)
             return F.when(F.size(a) != F.size(b), False).otherwise(parts)
@@ -797,6 +886,9 @@ class Emitter:
                     one = self.equal(a, self.ex(x, frame), frame)
                     out = one if out is None else out | one
                 return out
+            tb = self.dtype(frame, b)
+            if isinstance(tb, T.ArrayType) and entity_kind(tb.elementType) and entity_kind(tb.elementType) == entity_kind(self.dtype(frame, a)):
+                return F.array_contains(F.transform(b, lambda x: x["id"]), a["id"])
             return F.array_contains(b, a)
         if op in ("STARTS WITH", "ENDS WITH", "CONTAINS"):
             if not all(isinstance(self.dtype(frame, x), (T.StringType, T.NullType)) for x in (a, b)):
@@ -852,6 +944,8 @@ class Emitter:
             return self.aggregate_function(name, distinct, args, frame)
         first = args[0] if args else None
         entity = first is not None and first[0] == "var" and first[1] in frame.vars and first[1] not in self.local and frame.vars[first[1]].kind
+        if name == "id" and entity_call(first):
+            return self.ex(first, frame)
         if name == "id":
             return self.variable_part(first, "id", frame)
         if name == "elementid":

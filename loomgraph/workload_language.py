@@ -56,6 +56,26 @@ READS: dict[str, tuple[str, str]] = {
     ),
     "nested_comprehension": ("MATCH (r:Region) RETURN r.r_name AS r, [x IN [y IN range(1, 4) | y * y] WHERE x > 3 | x + r.r_regionkey] AS l", "SELECT r_name AS r, [4 + r_regionkey, 9 + r_regionkey, 16 + r_regionkey]::BIGINT[] AS l FROM region"),
     "call_relationship_types": ("CALL db.relationshipTypes() YIELD relationshipType RETURN relationshipType AS t", "SELECT * FROM (VALUES ('CONTAINS'), ('CUST_NATION'), ('IN_REGION'), ('PLACED'), ('SUPPLIED_BY'), ('SUPPLIES'), ('SUPP_NATION')) t(t)"),
+    "path_nodes": (
+        "MATCH p = (c:Customer)-[:CUST_NATION]->(:Nation)-[:IN_REGION]->(:Region) RETURN [n IN nodes(p) | coalesce(n.c_name, n.n_name, n.r_name)] AS names",
+        "SELECT [c_name, n_name, r_name] AS names FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey",
+    ),
+    "path_relationships": (
+        "MATCH p = (o:Order)-[:CONTAINS]->(:Part) RETURN o.o_orderstatus AS s, round(sum(reduce(s = 0.0, r IN relationships(p) | s + r.l_quantity))) AS q",
+        "SELECT o_orderstatus AS s, round(sum(l_quantity)) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1",
+    ),
+    "relationship_ends": (
+        "MATCH ()-[r:CUST_NATION]->() RETURN endNode(r).n_name AS n, round(sum(startNode(r).c_acctbal)) AS s",
+        "SELECT n_name AS n, round(sum(c_acctbal)) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    ),
+    "unwound_nodes": (
+        "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, collect(n) AS ns UNWIND ns AS m MATCH (m)<-[:CUST_NATION]-(c:Customer) RETURN r.r_name AS r, m.n_name AS n, count(c) AS k",
+        "SELECT r_name AS r, n_name AS n, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2",
+    ),
+    "hops_as_values": (
+        "MATCH (c:Customer)-[r:CUST_NATION|IN_REGION*2..2]->(g:Region) RETURN [x IN r | type(x)] AS t, g.r_name AS g, count(*) AS n",
+        "SELECT ['CUST_NATION', 'IN_REGION'] AS t, r_name AS g, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 2",
+    ),
     "random_and_time": ("WITH rand() AS r, randomUUID() AS u, timestamp() AS t RETURN 0 <= r AND r < 1 AS a, size(u) AS b, t > 1500000000000 AS c", "SELECT true AS a, 36::BIGINT AS b, true AS c"),
 }
 
