@@ -104,6 +104,13 @@ def drop_saved(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def done_with(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote, and have the driver find shuffles that nothing refers to: their files go too."""
+    for df in tables:
+        drop_saved(df)
+    tables[0].sparkSession._jvm.System.gc()
+
+
 def pack_table(values: np.ndarray, blocks: int) -> list[tuple[int, bytes]]:
     """A flat table as (block number, compressed block) pairs; blocks of zeros are left out."""
     return [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(values.reshape(blocks, -1)) if b.any()]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.iterate import components, cut
-from loomgraph.llm.common import as_bytes, merged_table, pack_table, portions, release, tokenized, words
+from loomgraph.llm.common import as_bytes, done_with, merged_table, pack_table, portions, release, saved, tokenized, words
 
 #: Size of the table of n-gram counts, and of the bit table that preselects texts to be compared.
 COUNT_BITS, FILTER_BITS, BLOCKS = 22, 24, 64
@@ -347,18 +347,21 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col:
     sized = held.groupBy("cls").agg(F.max("n").alias("n"))
     columns = heads.select("cls", F.explode("head").alias("gram"))
     shared = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
-    columns = cut(columns.join(shared, "gram"))
+    some = columns = saved(columns.join(shared, "gram"))
     # A linked text's partner has at least ceil(t n) n-grams, and shares as many deciding ones as that size asks for.
     least_partner = F.floor((F.col("n") * num + (den - 1)) / den)
     enough = columns.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).join(sized, "cls").where(F.col("k") >= 1 + F.floor(least_partner / GROW))
     columns = columns.join(enough.select("cls"), "cls")
     shared = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
-    columns = cut(columns.join(shared, "gram"))
+    columns = saved(columns.join(shared, "gram"))
+    done_with(some)
     least = columns.groupBy("gram").agg(F.min("cls").alias("x"))
-    pairs = cut(columns.join(least, "gram").where("x <> cls").select("x", F.col("cls").alias("y")).distinct())
+    pairs = saved(columns.join(least, "gram").where("x <> cls").select("x", F.col("cls").alias("y")).distinct())
     # Only texts that share enough deciding n-grams are ever compared.
-    sets = cut(_sets(docs, columns.select("cls").distinct().join(reps, "cls"), n, id_col, text_col))
+    sets = saved(_sets(docs, columns.select("cls").distinct().join(reps, "cls"), n, id_col, text_col))
+    done_with(columns)
     found = cut(stars(pairs, sets, num, den))
+    done_with(pairs, sets)
     first = found.where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
     late = late_links(found, components(first), num, den).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     # Rows that repeat an id with another text.
