@@ -10,17 +10,24 @@ beyond t are dropped unseen.  Ranks come from counts of all n-grams in a table o
 fixed size; any table gives whole results, a fuller one fewer candidates.  Column blocks go to tasks by n-gram:
 
 1. texts with equal sets form one class (so copies cost one row each);
-2. within a column every class meets the column's least class, its leader; the product of the two whole rows gives the
-   overlap, and linked ones form components.  What a class and its leader do not share is kept;
-3. a leader's classes, where they still form several components, are multiplied in blocks of BLOCK rows: for two rows
+2. the deciding columns are multiplied: where no class of a column has MOST larger ones within t of its size, all such
+   pairs of the column count one, counts add up over columns, and pairs that share fewer than k are dropped before any
+   set is looked up;
+3. columns that are denser get leaders instead: cut by size so that classes within t of each other meet in a window, every
+   class of a window of more than MOST meets the window's least class, its leader;
+4. the product of two whole rows gives the overlap of pairs and of classes with their leaders, and linked ones form
+   components.  Of a class's pairs one is compared at first, the others where they would join components.  What a class
+   and its leader do not share is kept, if the leader has more than one class;
+5. a leader's classes, where they still form several components, are multiplied in blocks of BLOCK rows: for two rows
    with the same leader, ``|A - B| + |B - A| = |a| + |b| - 2 |a & b|`` over their differences a and b from it, which
    are short.  Overlaps add up over column chunks, and pairs below the bound fall away inside the block.  Rows that
    are in the group's largest component already are multiplied with the others only.
 
-Two linked classes share a column, so a leader, and meet in a block unless they are in one component before: every link
-between different components is found.  A block returns what joins components, so no task emits all pairs of a group.
-There is no cap on columns, groups or partners.  Where links are to be counted, whole groups are multiplied, main
-component and all, and a block returns each row's number of partners.
+Two linked classes share k columns.  If all of these are sparse, the pair counts k; else they share a leader and meet in
+a block unless they are in one component before: every link between different components is found.  A block returns
+what joins components, so no task emits all pairs of a group.  There is no cap on columns, groups or partners.  Where
+links are to be counted, all pairs are compared and whole groups multiplied, main component and all, and a block
+returns each row's number of partners.
 
 Classes and n-grams go by 64-bit hashes.  Defined results: null texts are empty; a row with a null id gets the
 component of the texts it links with, null if there is none; rows that repeat an id with other texts count as linked;
@@ -42,6 +49,10 @@ from loomgraph.llm.common import as_bytes, done_with, merged_table, pack_table,
 COUNT_BITS, FILTER_BITS, BLOCKS = 22, 24, 64
 #: One more deciding n-gram has to be shared for each so many n-grams of a set.
 GROW = 24
+#: A column in which a class has so many larger ones within t of its size is dense.
+MOST = 16
+#: Rows of a column table that are worked on at once, or one column's.
+ROWS = 1 << 17
 #: Rows and columns of a block of the product.
 BLOCK, CHUNK = 1024, 4096
 #: Rows of one task's share of a class's comparisons.
@@ -162,34 +173,121 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
     return rows.mapInArrow(run, "cls bigint, grams binary").join(wanted.select("cls"), "cls").dropDuplicates(["cls"])
 
 
-def stars(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """For each pair (x, y): n of y, whether the whole sets are linked, and their symmetric difference.
+def whole_columns(batches):
+    """(gram, n, cls) arrays that hold whole columns; batches: these, sorted by gram."""
+    held, size, limit = [], 0, ROWS
+    for b in batches:
+        held.append(tuple(b.column(c).to_numpy() for c in range(3)))
+        size += len(held[-1][0])
+        if size < limit:
+            continue
+        own = tuple(map(np.concatenate, zip(*held, strict=True)))
+        last = int(np.searchsorted(own[0], own[0][-1]))
+        if last:
+            yield tuple(c[:last] for c in own)
+        held, size = [tuple(c[last:] for c in own)], size - last
+        limit = max(ROWS, 2 * size)
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def by_column(columns: DataFrame, f, schema: str) -> DataFrame:
+    """f over arrays (gram, n, cls) of whole columns, sorted by gram and n."""
+    parts = int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    Each x's set meets its y's a share at a time, in a task that holds one set of x.
+    def run(batches):
+        for own in whole_columns(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in f(*own)], names=names)
+
+    return columns.select("gram", "n", "cls").repartition(parts, "gram").sortWithinPartitions("gram", "n").mapInArrow(run, schema)
+
+
+def met(gram: np.ndarray, n: np.ndarray, cls: np.ndarray, num: int, den: int) -> tuple:
+    """The rows of columns that hold another class within t of their size."""
+    near = (gram[1:] == gram[:-1]) & (den * n[:-1] >= num * n[1:])
+    keep = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+    return gram[keep], n[keep], cls[keep]
+
+
+def products(gram: np.ndarray, n: np.ndarray, cls: np.ndarray, num: int, den: int) -> tuple:
+    """(x, y, need, lead): pairs within t of each other's size and how many columns they have to share; or leaders x."""
+    column = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
+    dense = np.zeros(int(column[-1]) + 1, bool)
+    live, low, high = np.arange(len(gram)), [], []
+    for d in range(1, MOST + 1):
+        live = live[: np.searchsorted(live, len(gram) - d)]
+        live = live[(gram[live + d] == gram[live]) & (den * n[live] >= num * n[live + d])]
+        low.append(live)
+        high.append(live + d)
+    dense[column[live]] = True
+    low, high = np.concatenate(low), np.concatenate(high)
+    sparse = ~dense[column[low]]
+    low, high = [low[sparse]], [high[sparse]]
+    leaders, led = [], []
+    for at, end in zip(np.searchsorted(column, np.flatnonzero(dense)).tolist(), np.searchsorted(column, np.flatnonzero(dense), "right").tolist(), strict=True):
+        # Classes of a part are never within t of those of the next but one.
+        cuts = [at]
+        while (after := at + int(np.searchsorted(n[at:end], den * n[cuts[-1]] // num, "right"))) < end:
+            cuts.append(after)
+        cuts += [end, end]
+        for first, second, last in zip(cuts, cuts[1:], cuts[2:]):
+            if last - first > MOST:
+                x = first + int(np.argmin(cls[first:last]))
+                others = np.concatenate([np.arange(first, x), np.arange(x + 1, last)])
+                leaders.append(np.full(len(others), x))
+                led.append(others)
+            else:
+                i, j = np.triu_indices(last - first, 1)
+                i, j = i + first, j + first
+                pairs = (i < second) & (den * n[i] >= num * n[j])
+                low.append(i[pairs])
+                high.append(j[pairs])
+    low, high = np.concatenate(low), np.concatenate(high)
+    x = np.concatenate([np.minimum(cls[low], cls[high]), cls[np.concatenate(leaders)] if leaders else cls[:0]])
+    y = np.concatenate([np.maximum(cls[low], cls[high]), cls[np.concatenate(led)] if led else cls[:0]])
+    need = np.concatenate([1 + n[low] // GROW, np.zeros(len(x) - len(low), np.int64)])
+    return x, y, need, np.arange(len(x)) >= len(low)
+
+
+def candidates(columns: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, lead) with x < y: pairs that share enough sparse columns, and classes y with their leaders x."""
+    made = by_column(columns, lambda *own: products(*own, num, den), "x bigint, y bigint, need bigint, lead boolean")
+    counted = made.groupBy("x", "y").agg(F.sum(F.when(~F.col("lead"), 1).otherwise(0)).alias("k"), F.max("need").alias("need"), F.max("lead").alias("lead"))
+    return counted.where("lead or k >= need").select("x", "y", "lead")
+
+
+def stars(pairs: DataFrame, sets: DataFrame, num: int, den: int, lone: bool = False) -> DataFrame:
+    """For each pair (x, y, lead): n of y, whether the whole sets are linked, and whether y is one of a leader's several.
+
+    For these (with lone, for all that have a leader) their symmetric difference is added.  Each x's set meets its y's
+    a share at a time, in a task that holds one set of x.
     """
-    shares = pairs.groupBy("x").count().select("x", F.ceil(F.col("count") / SHARE).cast("int").alias("shares"))
-    dealt = pairs.join(shares, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.col("shares")).cast("int"))
-    firsts = dealt.select("x", "salt").distinct().join(sets, F.col("x") == F.col("cls")).select("x", "salt", F.lit(0).alias("kind"), F.col("x").alias("y"), "grams")
-    seconds = dealt.join(sets, F.col("y") == F.col("cls")).select("x", "salt", F.lit(1).alias("kind"), "y", "grams")
+    shares = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"), F.sum(F.col("lead").cast("int")).alias("led"))
+    wide = F.col("lead") & (F.lit(lone) | (F.col("led") > 1))
+    dealt = pairs.join(shares, "x").select("x", F.pmod(F.xxhash64("y"), F.col("shares")).cast("int").alias("salt"), "y", wide.alias("wide"))
+    firsts = dealt.select("x", "salt").distinct().select("x", "salt", F.lit(0).alias("kind"), F.col("x").alias("cls"), F.lit(False).alias("wide"))
+    seconds = dealt.select("x", "salt", F.lit(1).alias("kind"), F.col("y").alias("cls"), "wide")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = firsts.union(seconds).repartition(parts, "x", "salt").sortWithinPartitions("x", "salt", "kind")
+    # A set goes to its place once for both roles.
+    rows = firsts.union(seconds).join(sets, "cls").select("x", "salt", "kind", "cls", "wide", "grams").repartition(parts, "x", "salt").sortWithinPartitions("x", "salt", "kind")
 
     def run(batches):
         at, first = None, None
         for b in batches:
             out = []
-            for x, is_y, y, grams in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+            for x, is_y, y, wide, grams in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5), strict=True):
                 if not is_y:
                     at, first = x, np.frombuffer(grams.as_py(), np.uint64)
                 elif x == at:
                     other = np.frombuffer(grams.as_py(), np.uint64)
                     apart = np.setxor1d(first, other, assume_unique=True)
                     both = (len(first) + len(other) - len(apart)) // 2
-                    out.append((x, y, len(other), den * both >= num * (both + len(apart)), apart.tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["x", "y", "n", "linked", "apart"])
+                    out.append((x, y, len(other), den * both >= num * (both + len(apart)), wide, apart.tobytes() if wide else b""))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], names=["x", "y", "n", "linked", "wide", "apart"])
 
-    return rows.mapInArrow(run, "x bigint, y bigint, n bigint, linked boolean, apart binary")
+    return rows.mapInArrow(run, "x bigint, y bigint, n bigint, linked boolean, wide boolean, apart binary")
 
 
 def overlaps(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,16 +377,22 @@ def late_links(stars_: DataFrame, comp: DataFrame, num: int, den: int) -> DataFr
     return rows.mapInArrow(run, "x bigint, y bigint")
 
 
-def link_counts(stars_: DataFrame, sized: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+def link_counts(found: DataFrame, sized: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
     """(y, n_links): rows of other classes that each class links with, by the blocked product of all of a leader's group.
 
-    Two linked classes share a leader; where they share several, the least one's group counts the link.
+    Where two linked classes share several leaders, the least one's group counts the link; where they share none, it is
+    among the pairs compared.
     """
+    stars_ = found.where("wide")
     leaders = stars_.select("x").distinct().join(sized, F.col("x") == F.col("cls")).select("x", F.col("x").alias("y"), "n", F.lit(b"").alias("apart"))
     group = stars_.select("x", "y", "n", "apart").union(leaders)
     members = stars_.select("x", "y").union(stars_.select("x", F.col("x").alias("y")).distinct())
     # No more leaders a class than it has deciding n-grams.
-    of = members.groupBy("y").agg(F.collect_list("x").alias("of")).join(copies, F.col("y") == F.col("cls")).select("y", "of", "copies")
+    led = members.groupBy("y").agg(F.collect_list("x").alias("of"))
+    of = led.join(copies, F.col("y") == F.col("cls")).select("y", "of", "copies")
+    linked = found.where("linked and not wide").select("x", "y").join(led.select(F.col("y").alias("x"), F.col("of").alias("of_x")), "x", "left").join(led, "y", "left")
+    linked = linked.where(~F.coalesce(F.arrays_overlap("of_x", "of"), F.lit(False))).select("x", "y")
+    apart = linked.union(linked.select("y", "x")).toDF("y", "cls").join(copies, "cls").select("y", F.col("copies").alias("n_links"))
     blocks = members.groupBy("x").count().select("x", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(blocks, "x").join(of, "y").select("x", "y", "blocks", "copies", F.filter("of", lambda o: o < F.col("x")).alias("before"))
     rows = rows.join(group, ["x", "y"]).withColumn("own", F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -332,7 +436,7 @@ def link_counts(stars_: DataFrame, sized: DataFrame, copies: DataFrame, num: int
             done()
         yield batch()
 
-    return rows.mapInArrow(run, "y bigint, n_links bigint").groupBy("y").agg(F.sum("n_links").alias("n_links"))
+    return rows.mapInArrow(run, "y bigint, n_links bigint").union(apart).groupBy("y").agg(F.sum("n_links").alias("n_links"))
 
 
 def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
@@ -340,30 +444,36 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col:
 
     With links, also n_links: how many other rows the row's text links with, copies of it included.
     """
-    base = cut(incidence(docs, n, num, den, id_col, text_col))
+    whole = saved(incidence(docs, n, num, den, id_col, text_col))
+    base = cut(whole.drop("head"))
     held = base.where("cls is not null")
     reps = held.groupBy("cls").agg(F.min("id").alias("rep"))
-    heads = held.select("cls", "head").dropDuplicates(["cls"])
     sized = held.groupBy("cls").agg(F.max("n").alias("n"))
-    columns = heads.select("cls", F.explode("head").alias("gram"))
-    shared = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
-    some = columns = saved(columns.join(shared, "gram"))
+    heads = whole.where("cls is not null").select("cls", "n", "head").dropDuplicates(["cls"])
+    some = saved(by_column(heads.select("cls", "n", F.explode("head").alias("gram")), lambda *own: met(*own, num, den), "gram bigint, n bigint, cls bigint"))
+    done_with(whole)
     # A linked text's partner has at least ceil(t n) n-grams, and shares as many deciding ones as that size asks for.
     least_partner = F.floor((F.col("n") * num + (den - 1)) / den)
-    enough = columns.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).join(sized, "cls").where(F.col("k") >= 1 + F.floor(least_partner / GROW))
-    columns = columns.join(enough.select("cls"), "cls")
-    shared = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
-    columns = saved(columns.join(shared, "gram"))
+    enough = some.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).where(F.col("k") >= 1 + F.floor(least_partner / GROW))
+    pairs = saved(candidates(some.join(enough.select("cls"), "cls"), num, den))
     done_with(some)
-    least = columns.groupBy("gram").agg(F.min("cls").alias("x"))
-    pairs = saved(columns.join(least, "gram").where("x <> cls").select("x", F.col("cls").alias("y")).distinct())
     # Only texts that share enough deciding n-grams are ever compared.
-    sets = saved(_sets(docs, columns.select("cls").distinct().join(reps, "cls"), n, id_col, text_col))
-    done_with(columns)
-    found = cut(stars(pairs, sets, num, den))
+    wanted = pairs.select(F.col("x").alias("cls")).union(pairs.select(F.col("y").alias("cls"))).distinct()
+    sets = saved(_sets(docs, wanted.join(reps, "cls"), n, id_col, text_col))
+    # One pair of each class, unless all links are asked for: in a group of near copies the others follow from it.
+    least = pairs.where("not lead").groupBy("y").agg(F.min("x").alias("least"))
+    first = pairs if links else pairs.join(least, "y", "left").where("lead or x = least").select("x", "y", "lead")
+    found = cut(stars(first, sets, num, den, links))
+    edges = lambda df: df.select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    first = edges(found.where("linked"))
+    comp = components(first)
+    late = edges(late_links(found.where("wide"), comp, num, den))
+    if not links:
+        of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
+        rest = pairs.where("not lead").join(least, "y").where("x <> least").join(of("x"), "x", "left").join(of("y"), "y", "left")
+        rest = rest.where(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select("x", "y", "lead")
+        late = late.union(edges(cut(stars(rest, sets, num, den)).where("linked")))
     done_with(pairs, sets)
-    first = found.where("linked").select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    late = late_links(found, components(first), num, den).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     # Rows that repeat an id with another text.
     twice = held.where("id is not null").groupBy("id").agg(F.min("cls").alias("src"), F.max("cls").alias("most")).where("src <> most")
     same = held.join(twice.select("id", "src"), "id").select("src", F.col("cls").alias("dst")).where("src <> dst")

@@ -39,3 +39,34 @@ def test_every_link_counts_once(spark, monkeypatch, n, num, den, block):
     want = brute(rows, n, num, den)
     assert {r["id"]: r["n_links"] for r in got} == want and sum(want.values()) > 300 and len(got) == len(rows)
     assert sorted(tuple(r)[:3] for r in got) == sorted(tuple(r) for r in jaccard.classes(d, n=n, num=num, den=den).collect())
+
+
+@pytest.mark.parametrize(("most", "block"), [(1, 7), (2, 1024), (4, 1024), (16, 1024)])
+def test_sparse_and_dense_columns_lose_no_link(spark, monkeypatch, most, block):
+    monkeypatch.setattr(jaccard, "MOST", most)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(most)
+    base = [[rng.choice("abcdefghij") * rng.randrange(1, 6) for _ in range(rng.randrange(3, 120))] for _ in range(12)]
+    rows = []
+    for i in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8])):
+            w[rng.randrange(len(w))] = rng.choice("klmno") + str(rng.randrange(9))
+        rows.append((i, " ".join(w + [f"end{k}" for k in range(rng.choice([0, 0, 1, 6]))])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.classes(d, n=3, num=4, den=5, links=True).collect()
+    assert {r["id"]: r["n_links"] for r in got} == brute(rows, 3, 4, 5)
+    assert sorted(tuple(r)[:3] for r in got) == sorted(tuple(r) for r in jaccard.classes(d, n=3, num=4, den=5).collect())
+
+
+def test_texts_that_share_single_passages_are_not_compared(spark, monkeypatch):
+    """In a larger corpus nearly every text shares some deciding n-grams, with others each: their sets must not move."""
+    asked, stars = [], jaccard.stars
+    monkeypatch.setattr(jaccard, "stars", lambda pairs, *a: (asked.append(pairs.count()), stars(pairs, *a))[1])
+    rng = random.Random(5)
+    pool = [" ".join(f"p{i}w{k}" for k in range(22)) for i in range(1000)]
+    rows = [(i, " ".join(rng.sample(pool, 40))) for i in range(200)]
+    rows.append((200, rows[7][1] + " more"))
+    got = {r["id"]: r["component_id"] for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=9, den=10).collect()}
+    assert got == {i: i for i in range(200)} | {200: 7}
+    assert 1 <= sum(asked) < 50
