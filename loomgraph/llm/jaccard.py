@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.iterate import components, cut
-from loomgraph.llm.common import as_bytes, done_with, merged_table, pack_table, portions, release, saved, tokenized, words
+from loomgraph.llm.common import as_bytes, done_with, let_go, merged_table, pack_table, portions, release, saved, tokenized, words
 
 #: Size of the table of n-gram counts, and of the bit table that preselects texts to be compared.
 COUNT_BITS, FILTER_BITS, BLOCKS = 22, 24, 64
@@ -463,10 +463,13 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col:
     # One pair of each class, unless all links are asked for: in a group of near copies the others follow from it.
     least = pairs.where("not lead").groupBy("y").agg(F.min("x").alias("least"))
     first = pairs if links else pairs.join(least, "y", "left").where("lead or x = least").select("x", "y", "lead")
+    let_go(docs.sparkSession)
     found = cut(stars(first, sets, num, den, links))
+    let_go(docs.sparkSession)
     edges = lambda df: df.select(F.col("x").alias("src"), F.col("y").alias("dst"))
     first = edges(found.where("linked"))
     comp = components(first)
+    let_go(docs.sparkSession)
     late = edges(late_links(found.where("wide"), comp, num, den))
     if not links:
         of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, pieces
+from loomgraph.llm.common import as_bytes, pieces, release
 
 WINDOW = 64
 WIDTHS = (2, 3, 4)
@@ -138,7 +138,10 @@ def fit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str
     sample = sorted(picked.orderBy("key").limit(2 * DOCS_PER_LANG * len(langs)).collect(), key=lambda r: (r["key"], r["lang"], r["cut"]))
     x = np.frombuffer(b"".join(bytes(c).ljust(WINDOW, b"\0") for r in sample for c in r["cut"]), np.uint8).reshape(-1, WINDOW)
     y = np.repeat([langs.index(r["lang"]) for r in sample], WINDOWS_PER_DOC)
-    return train(x, y, len(langs)) | {"langs": langs}
+    del sample
+    model = train(x, y, len(langs)) | {"langs": langs}
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: dict | None, *, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, pieces, words
+from loomgraph.llm.common import as_bytes, pieces, release, words
 
 LEVEL, PIECE = 9, 64
 LEAST, MOST, BURST, SHARE = 4, 12, 4, 0.1
@@ -32,6 +33,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 2048, 4096
 PRIMER = bytes(range(1, 9)) + bytes(range(14, 32)) + b"\x7f" + bytes(range(128, 133))
 #: Bounds of the training sample: labelled documents of each class, and bytes taken from a long one (in slices).
 MAX_TOXIC, MAX_ORDINARY, SLICE, SLICES = 1500, 4000, 4096, 8
+#: About so many windows of ordinary text, at even steps, are given to zstandard's training.
+SAMPLES = 40_000
 #: Length differences from which a window counts.
 CUTS = (1, 2, 3, 4, 5, 6)
 #: Differences of this many distinct windows are kept at hand.
@@ -77,8 +80,8 @@ def contrast(toxic: list[bytes], ordinary: list[bytes], share: float = SHARE) ->
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """Contents of the ordinary and the toxic dictionary, of equal length."""
-    samples = [b"\n " + w + b"\n " for t in ordinary for w in windows(t)]
-    samples = samples[:: max(1, len(samples) // 40_000)]
+    step = max(1, sum(len(windows(t)) for t in ordinary) // SAMPLES)
+    samples = [b"\n " + w + b"\n " for w in islice((w for t in ordinary for w in windows(t)), 0, None, step)]
     try:
         plain = zstd.train_dictionary(ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES + 512 :]
     except zstd.ZstdError:  # too few samples to train on: the samples themselves are the dictionary
@@ -119,12 +122,32 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
+def least_hashes(known: DataFrame, most: dict[int, int]) -> list:
+    """The rows (id__, y__, h__) of least h__ of each class y__, as many as ``most`` says; h__ is spread over all longs.
+
+    Only rows below a bound that about a quarter more than these pass are sent to the driver, whatever the number of tasks.
+    """
+    sizes = {r["y__"]: r["count"] for r in known.groupBy("y__").count().collect()}
+    bounds = {y: min((1 << 63) - 1, int((most[y] + most[y] // 4 + 100) / n * (1 << 64)) - (1 << 63)) for y, n in sizes.items()}
+    below = F.lit(False)
+    for y, bound in bounds.items():
+        below |= (F.col("y__") == y) & (F.col("h__") <= F.lit(bound).cast("long"))
+    found = known.where(below).collect()
+    picked = []
+    for y, k in most.items():
+        own = sorted((r for r in found if r["y__"] == y), key=lambda r: r["h__"])
+        if len(own) < min(k, sizes.get(y, 0)):  # the hashes lie otherwise than expected
+            own = known.where(F.col("y__") == y).orderBy("h__").limit(k).collect()
+        picked += own[:k]
+    return picked
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
     """Learn from a bounded sample of labelled rows for which ``learn`` (over the labels' id column) holds."""
     spark = docs.sparkSession
     known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id__")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y__"))
     known = known.withColumn("h__", F.xxhash64(F.col("id__").cast("string"), F.lit("sample")))
-    picked = [r for y, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)) for r in known.where(F.col("y__") == y).orderBy("h__").limit(most).collect()]
+    picked = least_hashes(known, {1: MAX_TOXIC, 0: MAX_ORDINARY})
     if len({r["y__"] for r in picked}) < 2:
         return None
     ids = spark.createDataFrame([(r["id__"], r["y__"]) for r in picked], known.select("id__", "y__").schema)
@@ -138,7 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
         return None
     plain, toxic = train_dictionaries([r[2] for r in rows if r[1]], [r[2] for r in rows if not r[1]])
     own = Compressors(plain, toxic)
-    return {"plain": plain, "toxic": toxic, "weights": calibrate(np.array([own.features(r[2]) for r in rows]), y)}
+    model = {"plain": plain, "toxic": toxic, "weights": calibrate(np.array([own.features(r[2]) for r in rows]), y)}
+    del rows, own
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: dict | None, *, keep: list[str], text_col: str = "text") -> DataFrame:
