@@ -120,11 +120,14 @@ def count_table(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     return merged_table(docs.select(as_bytes(F.col(text_col)).alias("raw")).mapInArrow(run, "block int, data binary"), 1 << COUNT_BITS, BLOCKS)
 
 
+def ranked(counts: np.ndarray) -> np.ndarray:
+    """Ranks of the table's slots, made a block at a time; no more is needed than the order of magnitude of a count."""
+    return np.concatenate([np.minimum(255, np.log2(c + np.float32(1)) * 8).astype(np.uint8) for c in counts.reshape(BLOCKS, -1)])
+
+
 def incidence(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, n (size of the set), cls (equal for equal sets; null for an empty one), head (the deciding n-grams)."""
-    # Ranks need no more than the order of magnitude of a slot's count.
-    counts = count_table(docs, n, text_col)
-    ranks = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.log2(counts + np.float32(1)) * 8).astype(np.uint8))
+    ranks = docs.sparkSession.sparkContext.broadcast(ranked(count_table(docs, n, text_col)))
     rows = docs.select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("raw__"))
     schema = rows.select("id").schema.add("n", "long").add("cls", "long")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", head array<bigint>"
@@ -377,6 +380,14 @@ def late_links(stars_: DataFrame, comp: DataFrame, num: int, den: int) -> DataFr
     return rows.mapInArrow(run, "x bigint, y bigint")
 
 
+def between(edges: DataFrame, comp: DataFrame) -> DataFrame:
+    """Edges (src, dst) as distinct edges between the components that their ends are in; what is in none is its own."""
+    for end in ("src", "dst"):
+        own = comp.select(F.col("id").alias(end), "component")
+        edges = edges.join(own, end, "left").withColumn(end, F.coalesce("component", end)).select("src", "dst")
+    return edges.where("src <> dst").distinct()
+
+
 def link_counts(found: DataFrame, sized: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
     """(y, n_links): rows of other classes that each class links with, by the blocked product of all of a leader's group.
 
@@ -480,8 +491,10 @@ def classes(docs: DataFrame, *, n: int = 5, num: int = 4, den: int = 5, id_col:
     # Rows that repeat an id with another text.
     twice = held.where("id is not null").groupBy("id").agg(F.min("cls").alias("src"), F.max("cls").alias("most")).where("src <> most")
     same = held.join(twice.select("id", "src"), "id").select("src", F.col("cls").alias("dst")).where("src <> dst")
-    final = components(first.union(late).union(same)).withColumnRenamed("id", "cls")
-    whole = reps.join(final, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+    # Components are known but for these few edges, which join whole ones: only they go through more rounds.
+    joined = components(between(late.union(same), comp)).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    whole = reps.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+    whole = whole.join(joined, "component", "left").select("cls", "rep", F.coalesce("joined", "component").alias("component"))
     named = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = whole.join(named, "component").select("cls", "component_id")
     out = base.select("id", F.col("n").alias("n_shingles"), "cls").join(by_class, "cls", "left")

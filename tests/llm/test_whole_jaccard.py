@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from loomgraph.llm import jaccard
+from loomgraph import iterate
+from loomgraph.llm import common, jaccard
 
 
 def brute(rows, n, num, den):
@@ -70,3 +71,27 @@ def test_texts_that_share_single_passages_are_not_compared(spark, monkeypatch):
     got = {r["id"]: r["component_id"] for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=9, den=10).collect()}
     assert got == {i: i for i in range(200)} | {200: 7}
     assert 1 <= sum(asked) < 50
+
+
+def test_full_collections_do_not_follow_one_another(spark):
+    """They make the driver's heap grow: ten at once before."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    count = lambda: sum(b.getCollectionCount() for b in beans)
+    common.let_go(spark)
+    before = count()
+    for _ in range(10):
+        common.let_go(spark)
+    assert count() - before <= 5
+
+
+@pytest.mark.parametrize(("edges", "cuts"), [([], 1), ([(3, 1), (1, 2), (1, 4), (7, 7), (9, 8), (8, 9)], 1), ([(i, i + 1) for i in range(40)] + [(90, 60), (60, 75)], None)])
+def test_components_take_no_round_that_changes_nothing(spark, monkeypatch, edges, cuts):
+    made, cut = [], iterate.cut
+    monkeypatch.setattr(iterate, "cut", lambda df: (made.append(1), cut(df))[1])
+    got = {r["id"]: r["component"] for r in iterate.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    want = {i: i for e in edges for i in e}
+    for _ in edges:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert cuts is None or len(made) == cuts
