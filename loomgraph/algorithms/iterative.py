@@ -281,7 +281,7 @@ def closeness(edges: DataFrame) -> DataFrame:
     """(id, closeness) over out-edges: (r / (n-1)) * (r / sum of distances), r reached nodes."""
     nodes = vertices(edges)
     n = nodes.count()
-    d = bfs(edges, nodes).where("depth > 0").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("r"), F.sum("depth").alias("s"))
+    d = packed.level_sizes(edges).where("depth > 0").groupBy(F.col("source").alias("id")).agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("depth")).alias("s"))
     return nodes.join(d, "id", "left").select("id", F.coalesce(F.col("r") / F.lit(max(1, n - 1)) * (F.col("r") / F.col("s")), F.lit(0.0)).alias("closeness"))
 
 
