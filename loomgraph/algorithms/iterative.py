@@ -294,7 +294,7 @@ def closeness(edges: DataFrame) -> DataFrame:
 def harmonic(edges: DataFrame) -> DataFrame:
     nodes = vertices(edges)
     n = nodes.count()
-    d = bfs(edges, nodes).where("depth > 0").groupBy(F.col("source").alias("id")).agg(F.sum(1 / F.col("depth")).alias("s"))
+    d = packed.level_sizes(edges).where("depth > 0").groupBy(F.col("source").alias("id")).agg(F.sum(F.col("n") / F.col("depth")).alias("s"))
     return nodes.join(d, "id", "left").select("id", F.coalesce(F.col("s") / F.lit(max(1, n - 1)), F.lit(0.0)).alias("harmonic"))
 
 
