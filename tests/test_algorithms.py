@@ -138,3 +138,19 @@ def test_matching_assignment_trails(spark):
     with pytest.raises(ValueError):
         S.euler_trail(spark.createDataFrame([(1, 2), (3, 4)], "src long, dst long"))
     assert I.bidirectional_bfs(e, 2, 4) == 3 and I.bidirectional_bfs(e, 4, 1) is None
+
+
+def test_routes_without_a_limit_of_edges(spark, graph, monkeypatch):
+    own, e = graph
+    monkeypatch.setattr(S, "LIMIT", 3)
+    d, light = floyd(own), {}
+    for a, b, w in own:
+        light[a, b] = min(w, light.get((a, b), w))
+    source = own[0][0]
+    far = max((b for b in nodes(own) if d[source, b] < float("inf")), key=lambda b: d[source, b])
+    for search in (S.a_star, S.bidirectional_dijkstra, lambda *x: S.a_star(*x, heuristic=lambda v: d[v, far] / 2 if d[v, far] < 1e9 else 1e9)):
+        cost, path = search(e, source, far)
+        assert cost == d[source, far] == sum(light[x] for x in itertools.pairwise(path)) and (path[0], path[-1]) == (source, far)
+        assert search(e, source, source) == (0, [source])
+        with pytest.raises(S.NoPath):
+            search(e, source, -1)
