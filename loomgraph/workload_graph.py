@@ -72,7 +72,7 @@ def a_star(spark, sf_dir):
 
 
 def bidirectional_dijkstra(spark, sf_dir):
-    return spark.createDataFrame([(float(sequential.bidirectional_dijkstra(user_edges(spark, sf_dir), 0, 5)[0]),)], "cost double")
+    return spark.createDataFrame([(float(iterative.bidirectional_dijkstra(user_edges(spark, sf_dir), 0, 5)[0]),)], "cost double")
 
 
 def bidirectional_bfs(spark, sf_dir):
