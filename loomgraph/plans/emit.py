@@ -110,6 +110,7 @@ class Emitter:
         self.g, self.params, self.spark = graph, params, graph.spark
         self.local: dict[str, Column] = {}
         self.local_types: dict[str, T.DataType] = {}
+        self.tied: list[tuple] = []
         props = {x[2] for x in walk(query) if len(x) == 3 and x[0] == "prop" and isinstance(x[2], str)}
         props |= {k for x in walk(query) if len(x) == 2 and x[0] == "map" and isinstance(x[1], dict) for k in x[1]}
         props |= {i[1] for x in walk(query) if len(x) == 3 and x[0] == "mapproj" for i in x[2] if i[0] == "own"}
@@ -209,19 +210,37 @@ class Emitter:
 
     def match(self, m: P.Match, frame: Frame) -> Frame:
         edges: list[tuple[str, list[str], bool]] = []
+        before, self.tied = self.tied, [x for x in self.conjuncts(m.where) if x[0] == "bin" and x[1] == "=" and all(y[0] == "prop" and y[1][0] == "var" for y in x[2:])]
         for path in m.paths:
             frame = self.path(path, frame, edges)
+        self.tied = before
         return self.filter(frame, m.where) if m.where else frame
 
-    def filter(self, frame: Frame, cond: tuple) -> Frame:
-        parts, stack = [], [cond]
-        while stack:  # top-level conjuncts one by one: existential ones become semi joins
+    def conjuncts(self, cond: tuple | None) -> list[tuple]:
+        parts, stack = [], [cond] if cond else []
+        while stack:
             x = stack.pop()
             if x[0] == "bin" and x[1] == "AND":
                 stack += [x[3], x[2]]
             else:
                 parts.append(x)
-        for x in parts:
+        return parts
+
+    def keys_to(self, frame: Frame, var: str, rows: DataFrame) -> list[tuple[str, str]]:
+        """Columns of the frame that WHERE sets equal to columns of a node about to be joined."""
+        found = []
+        for _, _, x, y in self.tied:
+            for (_, (_, v), p), (_, (_, w), q) in ((x, y), (y, x)):
+                have, new = f"{v}.{p}", f"{w}.{q}"
+                if w == var and v in frame.vars and have in frame.df.columns and new in rows.columns:
+                    t = frame.df.schema[have].dataType
+                    if t == rows.schema[new].dataType and isinstance(t, (T.IntegralType, T.StringType)):
+                        found.append((have, new))
+        return found
+
+    def filter(self, frame: Frame, cond: tuple) -> Frame:
+        # top-level conjuncts one by one: existential ones become semi joins
+        for x in self.conjuncts(cond):
             negated = x[0] == "un" and x[1] == "NOT"
             inner = x[2] if negated else x
             if inner[0] in ("pattern", "exists") and (inner[0] != "pattern" or not inner[1].shortest):
@@ -331,7 +350,17 @@ class Emitter:
             e = e.select(c(f"{r.var}#id").alias("#bound"), "#from", "#to")
             df = frame.df.join(e, (c(f"{a.var}#id") == c("#from")) & (c(f"{r.var}#id") == c("#bound"))).drop("#bound")
         else:
-            df = frame.df.join(e, c(f"{a.var}#id") == c("#from"))
+            rows = None if b.var in frame.vars else self.scan(b.var, b.labels)
+            keys = [] if rows is None else self.keys_to(frame, b.var, rows)
+            on = c(f"{a.var}#id") == c("#from")
+            if keys:  # the far node first, so that what WHERE sets equal narrows the join and not its rows
+                e = e.join(rows, c("#to") == c(f"{b.var}#id"))
+                for have, new in keys:
+                    on &= c(have) == c(new)
+            df = frame.df.join(e, on)
+            if keys:
+                frame = Frame(frame.df, frame.vars | {b.var: Binding("node", list(b.labels))})
+                b = P.NodePattern(b.var, [], b.props)
         frame = Frame(df.drop("#from"), frame.vars | {r.var: frame.vars.get(r.var, Binding("rel", list(r.types)))})
         for other, types, many in edges:
             if not types or not r.types or set(types) & set(r.types):
