@@ -316,21 +316,19 @@ def personalized_pagerank(edges: DataFrame, source: int, *, alpha: float = 0.85,
 
 
 def _power(edges: DataFrame, step, max_iter: int, tol: float, what: str) -> DataFrame:
-    nodes = cut(vertices(edges))
-    n = nodes.count()
-    x = cut(nodes.withColumn("x", F.lit(1.0 / n**0.5)))
-    into = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
+    into = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")))
+    r = rounds.Rounds(into, vertices(into))
+    x = np.full(len(r.ids), 1.0 / max(1, len(r.ids)) ** 0.5)
     for _ in range(max_iter):
-        got = x.join(into, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("x") * F.col("w")).alias("got"))
-        raw = cut(x.join(got, F.col("id") == F.col("dst"), "left").select("id", F.col("x").alias("was"), step(F.col("x"), F.coalesce("got", F.lit(0.0))).alias("x")))
-        norm = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] if what == "eigenvector" else 1.0
-        moved = raw.agg(F.sum(F.abs(F.col("x") / norm - F.col("was")))).first()[0]
-        x = cut(raw.select("id", (F.col("x") / norm).alias("x")))
+        at, sums = r.step(rounds.times, x)
+        got = np.zeros(len(x))
+        got[at] = sums
+        raw = step(x, got)
+        norm = float(np.sqrt(raw @ raw)) if what == "eigenvector" else 1.0
+        moved = np.abs(raw / norm - x).sum() if len(x) else 0.0
+        x = raw / norm
         if moved < tol:
-            if what == "katz":
-                norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
-                x = x.select("id", (F.col("x") / norm).alias("x"))
-            return x.withColumnRenamed("x", "score")
+            return r.frame("score", x / np.sqrt(x @ x) if what == "katz" and len(x) else x)
     raise NotConverged(f"{what} has not converged in {max_iter} rounds")
 
 
