@@ -247,20 +247,20 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
-    """(id, level) by peeling nodes without incoming edges; ordering by level, id is a topological order."""
-    left = cut(edges.select("src", "dst").distinct())
-    nodes = cut(vertices(left))
-    done, k = None, 0
-    while nodes.limit(1).count():
-        free = cut(nodes.join(left.select(F.col("dst").alias("id")), "id", "left_anti"))
-        if not free.limit(1).count():
+    """(id, level): the longest way from a node without incoming edges; ordering by level, id is a topological order.
+
+    Each round a block of nodes gives levels to all of its own that what is known, or it finds itself, allows."""
+    edges = cut(edges.select("src", "dst", F.lit(1.0).alias("weight")).distinct())
+    r = rounds.Rounds(edges, vertices(edges))
+    into, _ = r.step(lambda heads, *_: (heads, heads))
+    level = np.zeros(len(r.ids))
+    level[into] = -1
+    while (level < 0).any():
+        at, found = r.step(rounds.freed, level)
+        if not len(at):
             raise CycleError("the graph has a cycle")
-        part = free.select("id", F.lit(k).alias("level"))
-        done = part if done is None else cut(done.unionByName(part))
-        nodes = cut(nodes.join(free, "id", "left_anti"))
-        left = cut(left.join(free.withColumnRenamed("id", "src"), "src", "left_anti"))
-        k += 1
-    return done
+        level[at] = found
+    return r.frame("level", level.astype(np.int32))
 
 
 def k_core(edges: DataFrame) -> DataFrame:
