@@ -184,6 +184,8 @@ class Emitter:
         return Frame(self.spark.range(1).select(F.lit(1).alias("#one")), {})
 
     def clauses(self, clauses: list, frame: Frame | None = None) -> Frame:
+        if frame is None and (counted := self.pairs_counted(clauses)) is not None:
+            return counted
         frame = frame or self.start()
         for x in clauses:
             if isinstance(x, P.Match):
@@ -201,6 +203,32 @@ class Emitter:
                 frame = apply_write(self, x, frame)
         return frame
 
+    def pairs_counted(self, clauses: list) -> Frame | None:
+        """count(*) of two alike hops that meet in a node, and nothing else asked: of k edges there, k * (k - 1) pairs."""
+        if len(clauses) != 2 or not isinstance(clauses[0], P.Match) or not isinstance(clauses[1], P.Projection):
+            return None
+        m, p = clauses
+        if m.optional or m.where or len(m.paths) != 1 or p.star or p.distinct or p.order or p.skip or p.limit or p.where:
+            return None
+        if any(e != ("call", "count", False, [("star",)]) for e, _ in p.items) or len({n for _, n in p.items}) < len(p.items):
+            return None
+        nodes, rels = m.paths[0].nodes, m.paths[0].rels
+        if len(rels) != 2 or m.paths[0].var or m.paths[0].shortest or any(r.length is not None or r.props is not None for r in rels) or any(n.props is not None for n in nodes):
+            return None
+        if not nodes[0].var or not nodes[2].var or nodes[1].labels and not nodes[1].var:
+            return None  # not all of these are looked up
+        named = [x.var for x in (*nodes, *rels) if x.var]
+        turned = {"out": "in", "in": "out", "both": "both"}[rels[0].direction]
+        if len(set(named)) < len(named) or sorted(rels[0].types) != sorted(rels[1].types) or turned != rels[1].direction or sorted(nodes[0].labels) != sorted(nodes[2].labels):
+            return None
+        half = self.oriented(rels[1], False, False).select("#from", "#to")
+        for n, end in ((nodes[2], "#to"), (nodes[1], "#from")):
+            if n.var:  # as in arrive, such a node must be there
+                half = half.join(self.g.scan(n.labels, set()).select(F.col("id").alias("#node")), c(end) == c("#node"), "left_semi")
+        k = half.groupBy("#from").agg(F.count(F.lit(1)).alias("k"))
+        n = k.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1)), F.lit(0)).cast("long").alias("n"))
+        return Frame(n.select(*[F.col("n").alias(name) for _, name in p.items]), {name: Binding("value") for _, name in p.items})
+
     def listed(self, x: Column, frame: Frame) -> Column:
         """What UNWIND goes over: null has no rows, a value that is no list has one."""
         t = self.dtype(frame, x)

@@ -15,3 +15,16 @@ def test_equal_ends_narrow_the_join(spark):
         rows = [r for r in parts.union(parts).collect()]
         assert g.cypher(whole.format(cond)).first()["n"] == sum(i != j and x[1] == y[1] and alike(x, y) for i, x in enumerate(rows) for j, y in enumerate(rows))
     assert g.cypher("MATCH (a:Part)-[r:OF]->(b)<-[s:OF]-(c:Part {k: 3}) WHERE a.k = c.k RETURN a.k AS k, c.size AS s").collect() == [(3, 1)] * 2
+
+
+def test_pairs_of_hops_are_counted_by_their_node(spark):
+    people = spark.createDataFrame([(k,) for k in range(6)], "k long")
+    knows = spark.createDataFrame([(0, 1), (0, 1), (2, 1), (3, 1), (1, 1), (4, 5), (9, 1)], "a long, b long")
+    g = PropertyGraph(spark).with_nodes("P", people, "k").with_nodes("Q", people, "k").with_rels("K", knows, ("P", "a"), ("P", "b")).with_rels("L", knows, ("P", "a"), ("Q", "b"))
+    for text in ("(a:P)-[:K]->(b:P)<-[:K]-(c:P)", "(a:P)-[:K]->(b)<-[:K]-(c:P)", "(a)-[:K]->(b)<-[:K]-(c)", "(a)<-[:K]-(b)-[:K]->(c)", "(a:P)-[:K]-(b:P)-[:K]-(c:P)", "(a:P)-[:L]->(b:Q)<-[:L]-(c:P)", "(a:P)-[:K|L]->(b)<-[:L|K]-(c:P)", "(a:Q)-[:K]->(b)<-[:K]-(c:Q)"):
+        fast = g.cypher(f"MATCH {text} RETURN count(*) AS n")
+        plain = g.cypher(f"MATCH {text} WHERE 1 = 1 RETURN count(*) AS n")
+        assert fast.collect() == plain.collect() and fast.schema == plain.schema, text
+        assert fast._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 0
+    for text in ("()-[:K]->()<-[:K]-()", "(a:P)-[:K]->(b:P)-[:K]->(c:P)", "(a:P)-[:K]->(b:P)<-[:K]-(a)", "(a:P)-[:K]->(b)<-[:L]-(c:P)", "(a:P)-[:K]->(b)<-[:K]-(c:Q)"):
+        assert g.cypher(f"MATCH {text} RETURN count(*) AS n").collect() == g.cypher(f"MATCH {text} WHERE 1 = 1 RETURN count(*) AS n").collect(), text
