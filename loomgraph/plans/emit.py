@@ -99,6 +99,15 @@ def entity_call(e) -> bool:
     return isinstance(e, tuple) and len(e) == 4 and e[0] == "call" and e[1].lower() in ENTITY_CALLS
 
 
+def by_identity(var: str, e) -> bool:
+    """Whether an expression asks no more of a relationship than its type and identity."""
+    if isinstance(e, tuple) and len(e) == 4 and e[0] == "call" and e[1].lower() in ("type", "id") and e[3] == [("var", var)]:
+        return True
+    if e == ("var", var):
+        return False
+    return all(by_identity(var, y) for y in (e.values() if isinstance(e, dict) else e)) if isinstance(e, (tuple, list, dict)) else not hasattr(e, "__dataclass_fields__")
+
+
 def entity_kind(t: T.DataType) -> str | None:
     """Whether values of the type are nodes or relationships."""
     names = t.names if isinstance(t, T.StructType) else []
@@ -596,7 +605,8 @@ class Emitter:
             if isinstance(x, tuple) and x and x[0] in ("listcomp", "quant", "reduce"):  # what follows the list sees its elements
                 at = {"listcomp": 2, "quant": 3, "reduce": 4}[x[0]]
                 first = (lift(x[2]),) if x[0] == "reduce" else x[2:at][:1]
-                return (*x[:2], *first, *x[2 + len(first) : at], source(x[at]), *x[at + 1 :])
+                hops = x[at][0] == "var" and x[at][1] in frame.vars and frame.vars[x[at][1]].kind == "rels" and by_identity(x[at - 1], x[at + 1 :])
+                return (*x[:2], *first, *x[2 + len(first) : at], x[at] if hops else source(x[at]), *x[at + 1 :])
             if isinstance(x, tuple) and len(x) == 4 and x[0] == "call" and x[1].lower() in ("size", "length", "id") and all(map(entity_call, x[3])):
                 return x  # identities will do
             if (found := self.entities_of(frame, x)) is not None:

@@ -28,3 +28,12 @@ def test_pairs_of_hops_are_counted_by_their_node(spark):
         assert fast._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 0
     for text in ("()-[:K]->()<-[:K]-()", "(a:P)-[:K]->(b:P)-[:K]->(c:P)", "(a:P)-[:K]->(b:P)<-[:K]-(a)", "(a:P)-[:K]->(b)<-[:L]-(c:P)", "(a:P)-[:K]->(b)<-[:K]-(c:Q)"):
         assert g.cypher(f"MATCH {text} RETURN count(*) AS n").collect() == g.cypher(f"MATCH {text} WHERE 1 = 1 RETURN count(*) AS n").collect(), text
+
+
+def test_types_of_hops_need_no_lookup(spark):
+    g = PropertyGraph(spark).with_nodes("P", spark.range(4).toDF("k"), "k").with_rels("K", spark.createDataFrame([(0, 1, 5), (1, 2, 7), (2, 3, 9)], "a long, b long, w long"), ("P", "a"), ("P", "b"), ["w"])
+    types = g.cypher("MATCH (a:P)-[r:K*2..2]->(b:P) RETURN [x IN r | type(x)] AS t, any(x IN r WHERE id(x) IS NULL) AS n, count(*) AS k")
+    assert [tuple(x) for x in types.collect()] == [(["K", "K"], False, 2)]
+    assert "posexplode" not in types._jdf.queryExecution().optimizedPlan().toString()
+    weights = g.cypher("MATCH (a:P)-[r:K*2..2]->(b:P) RETURN a.k AS k, [x IN r | x.w] AS w, [x IN r WHERE type(x) = 'K' | x.w + 1] AS v ORDER BY k")
+    assert [tuple(x) for x in weights.collect()] == [(0, [5, 7], [6, 8]), (1, [7, 9], [8, 10])]
